@@ -6,12 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of documents."""
+    from millrace.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contamination of each document by 13-word windows of benchmark items."""
+    from millrace.llm.winnow import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of documents."""
     from millrace.llm.simhash import near_duplicates
@@ -26,9 +41,57 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts of the base kinds, a digest of their spans, and all spans."""
+    from millrace.llm.secrets import BASE, joined, scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and the removed line numbers of every row of documents."""
+    from millrace.llm.linejoin import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the risk-controlled rules for every row of documents."""
+    from millrace.llm.rules import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_near_dedup, op6_sentencepiece)}
+    return {
+        f.__name__: f
+        for f in (op1_quality_classifier, op2_benchmark_decontamination, op4_simhash_near_dedup, op6_sentencepiece, op8_secret_scan, op9_line_dedup, op10_quality_rules)
+    }
+
+
+_CONTAMINATION = r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (
+  select item_id::varchar as item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+bw as (
+  select distinct item_id, least(len(w), 13) as n, array_to_string(w[i + 1 : i + least(len(w), 13)], ' ') as g
+  from (select *, unnest(range(0, greatest(len(w) - 13, 0) + 1)) as i from b where len(w) > 0)),
+dw as (
+  select doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') as g
+  from (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) as i from w, (select distinct n from bw) where len(w) >= n)),
+hit as (select distinct doc_id, i, n, g from dw semi join bw using (n, g)),
+pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
+it as (
+  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items
+  from (select distinct doc_id, item_id from hit join bw using (n, g)) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from w left join pos using (doc_id) left join it using (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_benchmark_decontamination": _CONTAMINATION}

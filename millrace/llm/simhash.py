@@ -73,9 +73,9 @@ def links(fps: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
         [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(edges[i + 1] - edges[i]), r)]
         for i in range(segments)
     ]
-    keyed = fps.select("fp", F.posexplode(F.array(*map(segment, range(segments)))).alias("seg", "key"))
+    keyed = fps.select("fp", F.posexplode_outer(F.array(*map(segment, range(segments)))).alias("seg", "key"))
     masks = F.element_at(F.array(*[F.array(*[F.lit(m).cast("long") for m in ball]) for ball in balls]), F.col("seg") + 1)
-    asked = keyed.select(F.col("fp").alias("a"), "seg", F.explode(F.filter(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m)), lambda k: k >= F.col("key"))).alias("key"), F.col("key").alias("own"))
+    asked = keyed.select(F.col("fp").alias("a"), "seg", F.explode_outer(F.filter(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m)), lambda k: k >= F.col("key"))).alias("key"), F.col("key").alias("own"))
     found = asked.join(keyed.withColumnRenamed("fp", "b"), ["seg", "key"])
     near = found.filter((F.col("a") != F.col("b")) & ((F.col("key") != F.col("own")) | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
