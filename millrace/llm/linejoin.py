@@ -8,6 +8,8 @@ number) is similar to it, whether or not that earlier line stays.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,38 +18,43 @@ from millrace.llm.common import broadcast_if_small, materialize
 _WS = r"[\x20\x09-\x0D]+"
 #: Buckets of the rarity table: its size is fixed, whatever the corpus.
 _BUCKETS = 1 << 16
-#: Rows of two longs that may be broadcast; more are joined by shuffles.
-_BROADCAST_ROWS = 2_000_000
+#: Rows of a few longs that may be broadcast; more are joined by shuffles.
+_BROADCAST_ROWS = 1_000_000
+_LAST = (1 << 63) - 1
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), _WS), lambda w: w != "")
+def _plain(text: Column) -> Column:
+    """Lower-cased text in which all white space but line feeds is a space."""
+    low = F.lower(text)
+    odd = reduce(lambda a, b: a | b, [F.contains(low, F.lit(c)) for c in "\t\x0b\x0c\r"])
+    return F.when(odd, F.regexp_replace(low, r"[\t\x0B\f\r]", " ")).otherwise(low)
 
 
 def rarity(docs: DataFrame) -> Column:
     """A literal array: for each hash bucket of words, its order of frequency over all of `docs` (0: rarest)."""
-    word = docs.select(F.explode_outer(F.split(F.lower("text"), _WS)).alias("w")).filter("w != ''")
+    word = docs.select(F.explode_outer(F.split(F.regexp_replace(_plain(F.col("text")), "\n", " "), " ")).alias("w"))
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(_BUCKETS - 1).alias("b")).count()
     level = {r.b: min(127, r["count"].bit_length() * 2 + (r["count"] >> max(0, r["count"].bit_length() - 2) & 1)) for r in counts.collect()}  # one row a bucket
     return F.split(F.lit(",".join(str(level.get(b, 0)) for b in range(_BUCKETS))), ",").cast("array<bigint>")
 
 
-def _tokens(words: Column, levels: Column) -> Column:
-    """The distinct words as numbers of 56 hash bits below 8 bits of rarity, rarest first."""
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+def _tokens(line: Column, levels: Column) -> Column:
+    """A plain line's distinct words as numbers of 56 hash bits below 8 bits of rarity, rarest first."""
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(_BUCKETS - 1)), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split("text", "\n")).alias("line", "words")).withColumn("words", _words(F.col("words")))
-
-
 def _need(n: Column, m: Column, t: float) -> Column:
     """The least overlap of sets of n and m words at similarity t; scaled to whole numbers against rounding."""
     s = round(t * 1000)
     return F.ceil((n + m) * F.lit(s) / F.lit(1000 + s) - 1e-9)
 
 
+def _tail(n: Column, t: float) -> Column:
+    """How many words of a set of n lie beyond its prefix."""
+    return F.ceil(n * F.lit(round(t * 1000)) / 1000 - 1e-9).cast("int") - 1
+
+
 def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4) -> DataFrame:
     """(doc_id, line): the lines, counted from 0, that an earlier line of `docs` is similar to.
 
@@ -55,19 +62,17 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4)
     doc_ids come last in the order. A set is known by a 64-bit hash of its words, so among n different lines two are
     taken for one with a chance of n * n / 3.7e19.
     """
-    # Every line, once: its set's hash, size, prefix and bitmap.
     levels, per = rarity(docs), round(similarity * 1000)
-    sets = _lines(docs).select("doc_id", "line", _tokens(F.col("words"), levels).alias("tokens"))
+    # Every line, once: its set's hash, size, prefix and bitmap. Lines below min_words are filtered after the write, as
+    # a filter before it would make the tokens twice.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode_outer(F.split(_plain(F.col("text")), "\n")).alias("line", "raw"))
+    rows = rows.select("doc", "line", _tokens(F.col("raw"), levels).alias("tokens"))
     n = F.size("tokens")
-    lines = sets.select(
-        F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "line", F.xxhash64("tokens").alias("cls"), n.alias("n"),
-        F.slice("tokens", F.lit(1), F.greatest(n - F.ceil(n * F.lit(per) / 1000 - 1e-9).cast("int") + 1, F.lit(0))).alias("prefix"),
-        F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 20).bitwiseAND(63).cast("int")))).alias("bitmap"),
-    )
-    lines = materialize(lines, "lines").filter(F.col("n") >= min_words)  # the filter comes after, else tokens are made twice
+    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+    prefix = F.when(n >= min_words, F.slice("tokens", F.lit(1), n - _tail(n, similarity)))
+    lines = materialize(rows.select("doc", "line", F.xxhash64("tokens").alias("cls"), n.alias("n"), prefix.alias("prefix"), bits.alias("bitmap")), "lines").filter(F.col("n") >= min_words)
     place = (F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("line")).cast("decimal(38,0)")
-    firsts = lines.groupBy("cls").agg(F.min(place).alias("first"))
-    classes = materialize(lines.withColumn("place", place).join(firsts, "cls").filter("place = first").groupBy("cls").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")), "line-classes")
+    classes = materialize(lines.groupBy("cls").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "prefix", "bitmap")]), "line-classes")
 
     def close(a: str, b: str) -> Column:
         """What the sizes and bitmaps of two sets allow."""
@@ -77,46 +82,54 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4)
     # Round 1: each set against the earliest that shares its rarest or second rarest word. Settles the many variants of
     # a passage with one comparison each.
     heads = classes.select("cls", "first", "n", "bitmap", F.explode(F.slice("prefix", 1, 2)).alias("token"))
-    lead = heads.groupBy("token").agg(F.min("first").alias("lead"), F.count("*").alias("members")).filter("members > 1")
+    lead = heads.groupBy("token").agg(F.min("first").alias("lead"), F.count("*").alias("members")).filter("members > 1").select("token", "lead")
     asked = heads.join(lead, "token").filter("lead < first").select("cls", "n", "bitmap", "lead")
     of = classes.select(F.col("first").alias("lead"), F.col("cls").alias("b_cls"), F.col("n").alias("b_n"), F.col("bitmap").alias("b_bitmap"))
     pairs = asked.join(of, "lead").filter(close("", "b_")).select(F.col("cls").alias("a"), F.col("b_cls").alias("b")).distinct()
-    settled = materialize(_verified(docs, lines, pairs, similarity).select(F.col("a").alias("cls")).distinct(), "line-settled")
-    # Round 2: every set that is still open against all sets.
-    flagged = classes.join(settled.withColumn("settled", F.lit(True)), "cls", "left")
+    settled = materialize(_verified(docs, classes, pairs, levels, similarity).select(F.col("a").alias("cls")).distinct(), "line-settled")
+    n_settled = settled.count()
+    # Round 2: every set that is still open against all sets. A pair's common words within both prefixes must make up
+    # what the rest of the sets can't.
+    flagged = classes.join(broadcast_if_small(settled.withColumn("settled", F.lit(True)), n_settled, _BROADCAST_ROWS), "cls", "left")
     posts = flagged.select("cls", "n", "bitmap", F.col("settled").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token"))
-    x = posts.select("token", *[F.col(c).alias(f"a_{c}") for c in ("cls", "n", "bitmap", "open", "pos")])
-    y = posts.select("token", *[F.col(c).alias(f"b_{c}") for c in ("cls", "n", "bitmap", "open", "pos")])
-    room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= _need(F.col("a_n"), F.col("b_n"), similarity)
+    x, y = (posts.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "bitmap", "open", "pos")]) for side in "ab")
+    need = _need(F.col("a_n"), F.col("b_n"), similarity)
+    room = F.least("a_pos", "b_pos") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need
     met = x.join(y, (x.token == y.token) & (F.col("a_cls") < F.col("b_cls")) & (F.col("a_open") | F.col("b_open")) & room & close("a_", "b_"))
-    pairs = _ordered(met.select("a_cls", "b_cls").distinct(), classes)
-    later = settled.union(_verified(docs, lines, pairs, similarity).select("a")).distinct()
+    short = (need - F.greatest(_tail(F.col("a_n"), similarity), _tail(F.col("b_n"), similarity))).cast("int")
+    pairs = met.select("a_cls", "b_cls", short.alias("short")).groupBy("a_cls", "b_cls").agg(F.count("*").alias("common"), F.max("short").alias("short")).filter("common >= short")
+    pairs = _ordered(materialize(pairs.select("a_cls", "b_cls"), "line-candidates"), classes)
+    later = materialize(settled.union(_verified(docs, classes, pairs, levels, similarity).select("a")).distinct(), "line-later")
     # A class with a similar earlier one goes wholly; of any other its first line stays.
-    fate = classes.select("cls", "first").join(later.withColumn("later", F.lit(True)), "cls", "left").select("cls", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    gone = lines.withColumn("place", place).join(fate, "cls").filter("later or place > first")
-    return gone.select(F.when(F.col("doc") < (1 << 63) - 1, F.col("doc")).alias("doc_id"), "line")
+    fate = classes.select("cls", "first").join(broadcast_if_small(later.withColumn("later", F.lit(True)), later.count(), _BROADCAST_ROWS), "cls", "left").select("cls", "first", F.coalesce("later", F.lit(False)).alias("later"))
+    gone = lines.select("doc", "line", "cls", place.alias("place")).join(fate, "cls").filter("later or place > first")
+    return gone.select(F.when(F.col("doc") < _LAST, F.col("doc")).alias("doc_id"), "line")
 
 
 def _ordered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) with b the class whose first line comes earlier."""
-    at = classes.select("cls", "first")
-    both = pairs.join(at.select(F.col("cls").alias("a_cls"), F.col("first").alias("fa")), "a_cls").join(at.select(F.col("cls").alias("b_cls"), F.col("first").alias("fb")), "b_cls")
+    at, rows = classes.select("cls", "first"), pairs.count()
+    first = at.join(broadcast_if_small(pairs, rows, _BROADCAST_ROWS), F.col("cls") == F.col("a_cls")).select("a_cls", "b_cls", F.col("first").alias("fa"))
+    first = materialize(first, "line-ordered")
+    both = at.join(broadcast_if_small(first, rows, _BROADCAST_ROWS), F.col("cls") == F.col("b_cls")).select("a_cls", "b_cls", "fa", F.col("first").alias("fb"))
     late = F.col("fa") > F.col("fb")
     return both.select(F.when(late, F.col("a_cls")).otherwise(F.col("b_cls")).alias("a"), F.when(late, F.col("b_cls")).otherwise(F.col("a_cls")).alias("b"))
 
 
-def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of classes whose words, fetched from one line of each, are similar."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Column, similarity: float) -> DataFrame:
+    """The pairs of classes whose words, fetched from the first line of each, are similar."""
     pairs = materialize(pairs, "line-pairs")
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b"))).distinct()
-    where = materialize(lines.join(asked, "cls").groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("at")).select("cls", "at.doc", "at.line"), "line-places")
-    rows = where.count()
-    own = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).select("doc", "text")
-    wanted = where.groupBy("doc").agg(F.collect_set("line").alias("at"))
-    found = own.join(broadcast_if_small(wanted, rows, _BROADCAST_ROWS), "doc")
-    found = found.select("doc", F.explode(F.transform("at", lambda i: F.struct(i.alias("line"), F.get(F.split("text", "\n"), i).alias("raw")))).alias("x")).select("doc", "x.line", F.array_distinct(_words(F.col("x.raw"))).alias("words"))
-    words = found.join(where, ["doc", "line"]).groupBy("cls").agg(F.min("words").alias("words"))
-    words = materialize(words, "line-words")
+    where = classes.select("cls", "first").join(broadcast_if_small(asked, 2 * pairs.count(), _BROADCAST_ROWS), "cls")
+    doc = F.expr("first div cast(4294967296 as decimal(38,0))")  # whole division: / would round
+    spot = F.struct(F.expr("cast(first % cast(4294967296 as decimal(38,0)) as int)").alias("line"), "cls")
+    wanted = materialize(where.groupBy(doc.alias("doc")).agg(F.collect_list(spot).alias("at")), "line-places")
+    rows = wanted.select(F.sum(F.size("at"))).first()[0] or 0
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+    found = own.join(broadcast_if_small(wanted, rows, _BROADCAST_ROWS), "doc").select("at", F.split(_plain(F.col("text")), "\n").alias("lines"))
+    found = found.select(F.explode(F.transform("at", lambda x: F.struct(x["cls"].alias("cls"), F.get("lines", x["line"]).alias("raw")))).alias("x")).select("x.cls", "x.raw")
+    words = found.select("cls", F.array_remove(F.array_distinct(F.split("raw", " ")), "").alias("words"), F.xxhash64(_tokens(F.col("raw"), levels)).alias("own"))
+    words = materialize(words, "line-words").filter("own = cls").drop("own").dropDuplicates(["cls"])  # rows with a repeated doc_id can differ
     both = pairs.join(words.select(F.col("cls").alias("a"), F.col("words").alias("aw")), "a").join(words.select(F.col("cls").alias("b"), F.col("words").alias("bw")), "b")
     common = F.size(F.array_intersect("aw", "bw"))
     return both.filter(common * 1000 >= (F.size("aw") + F.size("bw") - common) * round(similarity * 1000)).select("a", "b")

@@ -27,6 +27,13 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row of documents, read back from its token files."""
+    from millrace.llm.tokens import token_report
+
+    return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of documents."""
     from millrace.llm.simhash import near_duplicates
@@ -34,6 +41,13 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts of the base kinds, a digest of their spans, and all spans."""
+    from millrace.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of documents."""
     from millrace.llm.pieces import encode_documents
@@ -41,6 +55,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every page's revisit record, read from WARC bytes, resolves to."""
+    from millrace.llm.warc import captures, read_records, resolve
+
+    found = resolve(read_records(captures(table(spark, sf_dir, "pages"))))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda h: F.concat_ws(": ", h["key"], h["value"]))
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+):", 1).try_cast("long")
+    return found.select(page("record_id").alias("page_id"), "canonical", "outcome", page("response_id").alias("response_page_id"), "status", F.array_join(lines, "\n").alias("headers"), "body_length", "body_sha256")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts of the base kinds, a digest of their spans, and all spans."""
     from millrace.llm.secrets import BASE, joined, scan
@@ -67,7 +91,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_quality_classifier, op2_benchmark_decontamination, op4_simhash_near_dedup, op6_sentencepiece, op8_secret_scan, op9_line_dedup, op10_quality_rules)
+        for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_token_files, op4_simhash_near_dedup, op5_pii, op6_sentencepiece, op7_warc_revisits, op8_secret_scan, op9_line_dedup, op10_quality_rules)
     }
 
 

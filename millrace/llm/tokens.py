@@ -58,7 +58,6 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         for s in range(len(COUNTS) - 1, 0, -1):
             fits = (run[:, COUNTS[s] - 1] <= WIDTHS[s]) & (at + COUNTS[s] <= end)
             selector[fits] = s
-        # a block's tail takes the selector with the most ids that end with it
         words = np.zeros(len(rows), np.uint64)
         for s in np.unique(selector):
             own = np.flatnonzero(selector == s)
@@ -86,18 +85,10 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
         return np.zeros(0, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     literal = np.zeros(len(words), bool)
-    zeros = np.flatnonzero(selector == 0)
-    if len(zeros):  # of words in a row with top bits 0, every second one is a literal, unless the run follows a literal
-        last = -2
-        for i in zeros.tolist():
-            if last != i - 1 or not literal[last + 1]:
-                pass
-        i, own = 0, set(zeros.tolist())
-        for i in zeros.tolist():
-            if not literal[i]:
-                literal[i + 1] = True
-        del own, last
-    counts = np.where(literal, 0, COUNTS[selector])
+    for i in np.flatnonzero(selector == 0).tolist():  # escapes are rare; a literal may itself look like one
+        if not literal[i]:
+            literal[i + 1] = True
+    counts = np.where(literal, 0, COUNTS[np.minimum(selector, len(COUNTS) - 1)])
     starts = np.cumsum(counts) - counts
     out = np.zeros(n, np.uint64)
     for s in range(1, len(COUNTS)):
@@ -110,21 +101,60 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
     return out
 
 
+class _Numbers(dict):
+    """Numbers keys in the order of their first use and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+    def take(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
+class _Lists:
+    """Lists of numbers, one after another."""
+
+    def __init__(self):
+        self.flat, self.counts, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        self.flat, self.counts = np.concatenate((self.flat, flat)), np.concatenate((self.counts, counts))
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def get(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists `which`, one after another, and where each ends."""
+        counts, starts = self.counts[which], self.starts[which]
+        ends = np.cumsum(counts)
+        return self.flat[np.arange(int(counts.sum())) + np.repeat(starts - (ends - counts), counts)], ends
+
+
 class WordEncoder:
-    """Ids by distinct words between spaces and line feeds, which the normaliser and pre-tokeniser never join over.
+    """Ids by distinct words between spaces and line feeds, and those of visible ASCII by their distinct parts.
 
-    Holds for tokenizers that turn runs of white space into one space and drop it, as checked at the start.
+    Holds for tokenizers that turn white space into one space and drop it, ignore case and cut ASCII as _PARTS does;
+    a few texts check that at the start. What is kept between calls, up to a bound, changes no result.
     """
 
+    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # fixed values: the tokenizer's own cuts
+    _PLAIN = re.compile(r"[!-~]+")
+
     def __init__(self, path: str, keep: int = _WORDS):
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        if self._ids(["a b\n c"])[0] != [i for w in self._ids(["a", "b", "c"]) for i in w]:
-            raise ValueError("this tokenizer's ids depend on white space")
         self._reset()
+        probe = ["A b\n c", "It's don't I'LL x''s y!'s 12ab3", "(re)'re-'ve,''d.'m"]
+        flat, counts = self.encode(probe, 0)
+        if flat.tolist() != [i for x in self._ids(probe) for i in [*x, 0]]:
+            raise ValueError("this tokenizer's ids depend on white space, case or other cuts of ASCII")
 
     def _reset(self):
-        self.index: dict[str, int] = {}
-        self.flat, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.words, self.parts = _Numbers(), _Numbers()
+        self.of_word, self.of_part = _Lists(), _Lists()  # a word's parts; a part's ids
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -132,31 +162,32 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and their number by text."""
-        if len(self.index) > self.keep:
+        if len(self.words) > self.keep:
             self._reset()
-        cut = [[w.lower() if w.isascii() else w for w in re.split("[ \n]+", t) if w] for t in texts]
-        index, new = self.index, []
-        for words in cut:
-            for w in words:
-                if w not in index:
-                    index[w] = len(index)
-                    new.append(w)
-        if new:
+        number, part = self.words.__getitem__, self.parts.__getitem__
+        used, sizes = [], np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            words = (t.lower() if t.isascii() else t).replace("\n", " ").split(" ")
+            used += map(number, words)
+            sizes[i] = len(words)
+        cut = []
+        for w in self.words.take():
+            plain = self._PLAIN.fullmatch(w) and "<|" not in w
+            cut.append(list(map(part, self._PARTS.findall(w.lower()))) if plain else [part(w)] if w else [])
+        if cut:
+            self.of_word.add(np.array([x for own in cut for x in own], np.int64), np.fromiter(map(len, cut), np.int64, len(cut)))
+        if new := self.parts.take():
             ids = self._ids(new)
-            self.counts = np.concatenate((self.counts, np.fromiter(map(len, ids), np.int64, len(ids))))
-            self.flat = np.concatenate((self.flat, np.array([i for x in ids for i in x], np.uint32)))
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        used = np.fromiter((index[w] for words in cut for w in words), np.int64, int(sizes.sum()))
-        lengths, starts = self.counts[used], (np.cumsum(self.counts) - self.counts)[used]
-        ends = np.cumsum(lengths)
-        flat = self.flat[np.arange(int(lengths.sum())) + np.repeat(starts - (ends - lengths), lengths)] if len(used) else np.zeros(0, np.uint32)
-        sums, at = np.concatenate(([0], ends)), np.concatenate(([0], np.cumsum(sizes)))
-        counts = np.diff(sums[at])
-        return np.insert(flat, np.cumsum(counts), end), counts + 1
+            self.of_part.add(np.array([x for own in ids for x in own], np.int64), np.fromiter(map(len, ids), np.int64, len(ids)))
+        parts, word_ends = self.of_word.get(np.array(used, np.int64))
+        flat, part_ends = self.of_part.get(parts)
+        at = np.concatenate(([0], part_ends))[np.concatenate(([0], word_ends))[np.concatenate(([0], np.cumsum(sizes)))]]
+        counts = np.diff(at)
+        return np.insert(flat, np.cumsum(counts), end).astype(np.uint32), counts + 1
 
 
 def encode_rows(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
-    """(doc_id, n, words): each row's ids packed on their own."""
+    """(doc_id, n, ids): each row's ids with the end id, as little-endian numbers of 2 bytes, or 4 where one needs them."""
 
     def run(batches):
         import os
@@ -170,20 +201,89 @@ def encode_rows(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
                 while to < len(texts) and (to == at or size + len(texts[to]) <= _CHARS):
                     size, to = size + len(texts[to]), to + 1
                 flat, counts = encoder.encode(texts[at:to], end)
-                ends = np.cumsum(counts)
-                # one pack for all: documents are padded to whole blocks, so that each has words of its own
-                packed = [pack(flat[e - c : e])[0].tobytes() for c, e in zip(counts.tolist(), ends.tolist())] if len(counts) < 8 else _pack_each(flat, counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(counts), pa.array(packed, pa.binary())], ["doc_id", "n", "words"])
+                ends = np.cumsum(counts).tolist()
+                ids = [_raw(flat[a:b]) for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(counts), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
                 at = to
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, words binary")
-
-
-def _pack_each(flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    """Each document's ids as 16 or 32 bits, whichever its largest needs: only for the way to the writers."""
-    ends = np.cumsum(counts)
-    return [_raw(flat[e - c : e]) for c, e in zip(counts.tolist(), ends.tolist())]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
 def _raw(ids: np.ndarray) -> bytes:
     return b"\2" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
+
+
+_FRAMES = "shard int, frame int, start long, doc_ids array<long>, counts array<long>, offsets binary, words binary"
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1) -> None:
+    """Write every row's ids, with `end` after each, to the token files at `path`, in ascending doc_id order.
+
+    Null texts count as empty: one id, the end. Null doc_ids come first; rows with one doc_id are ordered by their ids.
+    Encoded rows, not texts, are dealt by ranges of doc_id, and of a checksum for doc_ids with many rows.
+    """
+    spark = docs.sparkSession
+    rows = encode_rows(docs, tokenizer_path, end).withColumn("tie", F.crc32("ids"))
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def frames(batches):
+        from pyspark import TaskContext
+
+        shard, number, start = TaskContext.get().partitionId(), 0, 0
+        names, counts, parts, size = [], [], [], 0
+
+        def close():
+            nonlocal number, start, names, counts, parts, size
+            words, offsets = pack(np.concatenate(parts))
+            row = {"shard": [shard], "frame": [number], "start": [start], "doc_ids": [names], "counts": [counts], "offsets": [offsets.astype("<u4").tobytes()], "words": [words.astype("<u8").tobytes()]}
+            number, start = number + 1, start + size
+            names, counts, parts, size = [], [], [], 0
+            return pa.RecordBatch.from_pydict(row, schema)
+
+        schema = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.binary()), ("words", pa.binary())])
+        for batch in batches:
+            for doc_id, n, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if size and size + n > FRAME:
+                    yield close()
+                names.append(doc_id)
+                counts.append(n)
+                parts.append(np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1))
+                size += n
+        if names:
+            yield close()
+
+    rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "n", "ids").mapInArrow(frames, _FRAMES).write.mode("overwrite").parquet(path)
+
+
+def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) and, if asked for, ids, of each document in the token files at `path`.
+
+    start counts the ids of all documents before. Only the shards' totals, a number a file, go through the driver.
+    """
+    frames = spark.read.schema(_FRAMES).parquet(path)
+    sizes = frames.select("shard", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    before, total = {}, 0
+    for r in sorted(sizes, key=lambda r: r.shard):
+        before[r.shard], total = total, total + r.n
+
+    def run(batches):
+        for batch in batches:
+            for shard, start, names, counts, offsets, words in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                counts = np.array(counts, np.int64)
+                ids = unpack(np.frombuffer(words, "<u8"), np.frombuffer(offsets, "<u4"), int(counts.sum())).astype("<u4")
+                ends = np.cumsum(counts)
+                raw = memoryview(ids.tobytes())
+                crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for c, e in zip(counts.tolist(), ends.tolist())]
+                cols = [pa.array(names, pa.int64()), pa.array(before[shard] + start + ends - counts), pa.array(counts), pa.array(crc, pa.int64())]
+                if keep_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
+
+    return frames.select("shard", "start", "doc_ids", "counts", "offsets", "words").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
+
+
+def token_report(docs: DataFrame, tokenizer_path: str, end: int = 1) -> DataFrame:
+    """What read_tokens() gives of files just written to the shared folder; an empty table gives an empty result."""
+    path = fresh_path(docs.sparkSession, "tokens")
+    write_tokens(docs, path, tokenizer_path, end)
+    return read_tokens(docs.sparkSession, path)
