@@ -32,16 +32,18 @@ def _plain(text: Column) -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """A literal array: for each hash bucket of words, its order of frequency over all of `docs` (0: rarest)."""
-    word = docs.select(F.explode_outer(F.split(F.regexp_replace(_plain(F.col("text")), "\n", " "), " ")).alias("w"))
+    word = docs.select(F.explode_outer(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(_BUCKETS - 1).alias("b")).count()
     level = {r.b: min(127, r["count"].bit_length() * 2 + (r["count"] >> max(0, r["count"].bit_length() - 2) & 1)) for r in counts.collect()}  # one row a bucket
     return F.split(F.lit(",".join(str(level.get(b, 0)) for b in range(_BUCKETS))), ",").cast("array<bigint>")
 
 
 def _tokens(line: Column, levels: Column) -> Column:
-    """A plain line's distinct words as numbers of 56 hash bits below 8 bits of rarity, rarest first."""
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(_BUCKETS - 1)), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
+    """A plain line's distinct words as numbers, rarest first: 7 bits of the frequency of the word's bucket, 5 bits that
+    put longer words, which are rarer within a bucket, before shorter ones, and 51 bits of hash."""
+    number = lambda w: F.shiftleft(31 - F.least(F.length(w), F.lit(31)).cast("long"), 51).bitwiseOR(F.xxhash64(w).bitwiseAND((1 << 51) - 1))
+    distinct = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), number)), number(F.lit("")))
+    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(_BUCKETS - 1)), 56).bitwiseOR(h)))
 
 
 def _need(n: Column, m: Column, t: float) -> Column:
@@ -88,17 +90,21 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4)
     pairs = asked.join(of, "lead").filter(close("", "b_")).select(F.col("cls").alias("a"), F.col("b_cls").alias("b")).distinct()
     settled = materialize(_verified(docs, classes, pairs, levels, similarity).select(F.col("a").alias("cls")).distinct(), "line-settled")
     n_settled = settled.count()
-    # Round 2: every set that is still open against all sets. A pair's common words within both prefixes must make up
-    # what the rest of the sets can't.
+    # Round 2: every set that is still open against all sets. The first word that two similar sets share has so many
+    # words after it in both as the sets must have in common; what words both prefixes share must make up what the rest
+    # of the sets can't.
     flagged = classes.join(broadcast_if_small(settled.withColumn("settled", F.lit(True)), n_settled, _BROADCAST_ROWS), "cls", "left")
     posts = flagged.select("cls", "n", "bitmap", F.col("settled").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token"))
     x, y = (posts.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "bitmap", "open", "pos")]) for side in "ab")
-    need = _need(F.col("a_n"), F.col("b_n"), similarity)
-    room = F.least("a_pos", "b_pos") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need
+    room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= _need(F.col("a_n"), F.col("b_n"), similarity)
     met = x.join(y, (x.token == y.token) & (F.col("a_cls") < F.col("b_cls")) & (F.col("a_open") | F.col("b_open")) & room & close("a_", "b_"))
-    short = (need - F.greatest(_tail(F.col("a_n"), similarity), _tail(F.col("b_n"), similarity))).cast("int")
-    pairs = met.select("a_cls", "b_cls", short.alias("short")).groupBy("a_cls", "b_cls").agg(F.count("*").alias("common"), F.max("short").alias("short")).filter("common >= short")
-    pairs = _ordered(materialize(pairs.select("a_cls", "b_cls"), "line-candidates"), classes)
+    pairs = materialize(met.select("a_cls", "b_cls").distinct(), "line-candidates")
+    heads = lambda side: classes.select(F.col("cls").alias(f"{side}_cls"), F.col("n").alias(f"{side}_n"), F.col("prefix").alias(f"{side}_prefix"), F.col("first").alias(f"{side}_first"))
+    both = pairs.join(heads("a"), "a_cls").join(heads("b"), "b_cls")
+    rest = F.greatest(_tail(F.col("a_n"), similarity), _tail(F.col("b_n"), similarity))
+    both = both.filter(F.size(F.array_intersect("a_prefix", "b_prefix")) + rest >= _need(F.col("a_n"), F.col("b_n"), similarity))
+    late = F.col("a_first") > F.col("b_first")
+    pairs = both.select(F.when(late, F.col("a_cls")).otherwise(F.col("b_cls")).alias("a"), F.when(late, F.col("b_cls")).otherwise(F.col("a_cls")).alias("b"))
     later = materialize(settled.union(_verified(docs, classes, pairs, levels, similarity).select("a")).distinct(), "line-later")
     # A class with a similar earlier one goes wholly; of any other its first line stays.
     fate = classes.select("cls", "first").join(broadcast_if_small(later.withColumn("later", F.lit(True)), later.count(), _BROADCAST_ROWS), "cls", "left").select("cls", "first", F.coalesce("later", F.lit(False)).alias("later"))
@@ -106,16 +112,6 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4)
     return gone.select(F.when(F.col("doc") < _LAST, F.col("doc")).alias("doc_id"), "line")
 
 
-def _ordered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) with b the class whose first line comes earlier."""
-    at, rows = classes.select("cls", "first"), pairs.count()
-    first = at.join(broadcast_if_small(pairs, rows, _BROADCAST_ROWS), F.col("cls") == F.col("a_cls")).select("a_cls", "b_cls", F.col("first").alias("fa"))
-    first = materialize(first, "line-ordered")
-    both = at.join(broadcast_if_small(first, rows, _BROADCAST_ROWS), F.col("cls") == F.col("b_cls")).select("a_cls", "b_cls", "fa", F.col("first").alias("fb"))
-    late = F.col("fa") > F.col("fb")
-    return both.select(F.when(late, F.col("a_cls")).otherwise(F.col("b_cls")).alias("a"), F.when(late, F.col("b_cls")).otherwise(F.col("a_cls")).alias("b"))
-
-
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Column, similarity: float) -> DataFrame:
     """The pairs of classes whose words, fetched from the first line of each, are similar."""
     pairs = materialize(pairs, "line-pairs")

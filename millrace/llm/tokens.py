@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +25,13 @@ from millrace.llm.common import fresh_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 256
-#: Ids in a frame before the next document starts a new one.
-FRAME = 1 << 18
+#: Ids from which a frame is closed.
+FRAME = 1 << 20
 #: Ids in a word and bits of each, by selector from 1.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-_CHARS, _WORDS = 1 << 21, 300_000
+#: Bytes of text encoded at once.
+_BYTES = 1 << 25
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +49,7 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         big = (values >> bits.astype(np.uint64)) >> np.uint64(b) > 0
         bits[big] += b
     bits += values > 0
-    padded = np.zeros(blocks * block + 60, np.int64)
+    padded = np.zeros(blocks * block + 60, np.int8)
     padded[:n] = np.maximum(bits, 1)
     flat = np.concatenate((values, np.zeros(len(padded) - n, np.uint64)))
     at, end = np.arange(blocks) * block, np.minimum(np.arange(1, blocks + 1) * block, n)
@@ -101,136 +103,111 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
     return out
 
 
-class _Numbers(dict):
-    """Numbers keys in the order of their first use and lists the new ones."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
-    def take(self) -> list[str]:
-        new, self.new = self.new, []
-        return new
-
-
-class _Lists:
-    """Lists of numbers, one after another."""
-
-    def __init__(self):
-        self.flat, self.counts, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, flat: np.ndarray, counts: np.ndarray) -> None:
-        self.flat, self.counts = np.concatenate((self.flat, flat)), np.concatenate((self.counts, counts))
-        self.starts = np.cumsum(self.counts) - self.counts
-
-    def get(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lists `which`, one after another, and where each ends."""
-        counts, starts = self.counts[which], self.starts[which]
-        ends = np.cumsum(counts)
-        return self.flat[np.arange(int(counts.sum())) + np.repeat(starts - (ends - counts), counts)], ends
+def _lists(flat: np.ndarray, counts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists that stand one after another in `flat`: the lists `which`, one after another, and where each ends."""
+    starts = (np.cumsum(counts) - counts)[which]
+    sizes = counts[which]
+    ends = np.cumsum(sizes)
+    return flat[np.arange(int(sizes.sum())) + np.repeat(starts - (ends - sizes), sizes)], ends
 
 
 class WordEncoder:
     """Ids by distinct words between spaces and line feeds, and those of visible ASCII by their distinct parts.
 
-    Holds for tokenizers that turn white space into one space and drop it, ignore case and cut ASCII as _PARTS does;
-    a few texts check that at the start. What is kept between calls, up to a bound, changes no result.
+    Holds for tokenizers that turn white space into one space and drop it, ignore case, cut ASCII as _PARTS does and
+    mark the last token of each part; a few texts check that at the start. Splitting, lower-casing and finding distinct
+    words are Arrow's.
     """
 
     _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # fixed values: the tokenizer's own cuts
     _PLAIN = re.compile(r"[!-~]+")
 
-    def __init__(self, path: str, keep: int = _WORDS):
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self._reset()
-        probe = ["A b\n c", "It's don't I'LL x''s y!'s 12ab3", "(re)'re-'ve,''d.'m"]
-        flat, counts = self.encode(probe, 0)
-        if flat.tolist() != [i for x in self._ids(probe) for i in [*x, 0]]:
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError("this tokenizer doesn't mark the ends of words")
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for name, i in names.items() if name.endswith(suffix)]] = True
+        probe = ["A b\n c", "It's don't I'LL x''s y!'s 12ab3", "", "(re)'re-'ve,''d.'m \u00c9T\u00c9"]
+        if self.encode(pa.array(probe), 0)[0].tolist() != [i for x in self._ids(probe) for i in [*x, 0]]:
             raise ValueError("this tokenizer's ids depend on white space, case or other cuts of ASCII")
 
-    def _reset(self):
-        self.words, self.parts = _Numbers(), _Numbers()
-        self.of_word, self.of_part = _Lists(), _Lists()  # a word's parts; a part's ids
-
     def _ids(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in run(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by `end`, and their number by text."""
-        if len(self.words) > self.keep:
-            self._reset()
-        number, part = self.words.__getitem__, self.parts.__getitem__
-        used, sizes = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            words = (t.lower() if t.isascii() else t).replace("\n", " ").split(" ")
-            used += map(number, words)
-            sizes[i] = len(words)
-        cut = []
-        for w in self.words.take():
-            plain = self._PLAIN.fullmatch(w) and "<|" not in w
-            cut.append(list(map(part, self._PARTS.findall(w.lower()))) if plain else [part(w)] if w else [])
-        if cut:
-            self.of_word.add(np.array([x for own in cut for x in own], np.int64), np.fromiter(map(len, cut), np.int64, len(cut)))
-        if new := self.parts.take():
-            ids = self._ids(new)
-            self.of_part.add(np.array([x for own in ids for x in own], np.int64), np.fromiter(map(len, ids), np.int64, len(ids)))
-        parts, word_ends = self.of_word.get(np.array(used, np.int64))
-        flat, part_ends = self.of_part.get(parts)
-        at = np.concatenate(([0], part_ends))[np.concatenate(([0], word_ends))[np.concatenate(([0], np.cumsum(sizes)))]]
-        counts = np.diff(at)
+    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain parts, which are one pre-token each, and their number by part: encoded as one text, in which the
+        tokens that end words end parts."""
+        ids = np.array(self._ids([" ".join(parts)])[0], np.int64)
+        return ids, np.diff(np.concatenate(([0], np.flatnonzero(self.last[ids]) + 1)))
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all `words` and their number by word."""
+        simple = pc.match_substring_regex(words, "^[a-z]+$")
+        ids, counts = self._together(words.filter(simple).to_pylist())
+        if len(ids) and counts.sum() != len(ids):
+            raise ValueError("a word of letters isn't one pre-token")
+        known, cut, odd = {}, [], {}
+        for w in words.filter(pc.invert(simple)).to_pylist():  # parts count from 0, odd words from -1 down
+            if self._PLAIN.fullmatch(w) and "<|" not in w:
+                cut.append([known.setdefault(p, len(known)) for p in self._PARTS.findall(w.lower())])
+            else:
+                cut.append([odd.setdefault(w, -1 - len(odd))] if w else [])
+        flat, sizes = self._together([*known])
+        alone = self._ids([*odd])[::-1]  # so that the last odd word comes first
+        flat = np.concatenate((np.array([i for x in alone for i in x], np.int64), flat))
+        sizes = np.concatenate((np.fromiter(map(len, alone), np.int64, len(alone)), sizes))
+        which = np.array([p for own in cut for p in own], np.int64) + len(odd)
+        others, ends = _lists(flat, sizes, which)
+        ends = np.concatenate(([0], ends))[np.cumsum([0, *map(len, cut)])]
+        simple = simple.to_numpy(zero_copy_only=False)
+        total = np.zeros(len(words), np.int64)
+        total[simple], total[~simple] = counts, np.diff(ends)
+        out, first = np.zeros(int(total.sum()), np.int64), np.repeat(simple, total)
+        out[first], out[~first] = ids, others
+        return out, total
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by `end`, and their number by text. Null texts count as empty."""
+        texts = pc.fill_null(texts, "")
+        # lower-casing first is no different only where no combining mark could join a small letter alone
+        low = pc.replace_substring(pc.if_else(pc.match_substring_regex(texts, r"\pM"), texts, pc.ascii_lower(texts)), "\n", " ")
+        cut = pc.split_pattern(low, " ")
+        coded = pc.list_flatten(cut).dictionary_encode()
+        words = coded.dictionary
+        flat, ends = _lists(*self._of_words(words), coded.indices.to_numpy())
+        at = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))
+        counts = np.diff(np.concatenate(([0], ends))[at])
         return np.insert(flat, np.cumsum(counts), end).astype(np.uint32), counts + 1
 
 
-def encode_rows(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
-    """(doc_id, n, ids): each row's ids with the end id, as little-endian numbers of 2 bytes, or 4 where one needs them."""
-
-    def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer_path)
-        for batch in batches:
-            texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= _CHARS):
-                    size, to = size + len(texts[to]), to + 1
-                flat, counts = encoder.encode(texts[at:to], end)
-                ends = np.cumsum(counts).tolist()
-                ids = [_raw(flat[a:b]) for a, b in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(counts), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
-                at = to
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
-
-
-def _raw(ids: np.ndarray) -> bytes:
-    return b"\2" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
-
-
 _FRAMES = "shard int, frame int, start long, doc_ids array<long>, counts array<long>, offsets binary, words binary"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1) -> None:
     """Write every row's ids, with `end` after each, to the token files at `path`, in ascending doc_id order.
 
-    Null texts count as empty: one id, the end. Null doc_ids come first; rows with one doc_id are ordered by their ids.
-    Encoded rows, not texts, are dealt by ranges of doc_id, and of a checksum for doc_ids with many rows.
+    Null texts count as empty: one id, the end. Null doc_ids come first; rows with one doc_id are ordered by a checksum
+    of their texts, by which the rows of a doc_id with many rows are dealt as well. Texts are dealt by range, not ids:
+    dealing by range reads its input twice, once for a sample, and encoding is the dear step.
     """
     spark = docs.sparkSession
-    rows = encode_rows(docs, tokenizer_path, end).withColumn("tie", F.crc32("ids"))
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.crc32("text"))
 
     def frames(batches):
+        import os
+
         from pyspark import TaskContext
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = WordEncoder(tokenizer_path)
         shard, number, start = TaskContext.get().partitionId(), 0, 0
         names, counts, parts, size = [], [], [], 0
+        schema = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.binary()), ("words", pa.binary())])
 
         def close():
             nonlocal number, start, names, counts, parts, size
@@ -240,19 +217,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1)
             names, counts, parts, size = [], [], [], 0
             return pa.RecordBatch.from_pydict(row, schema)
 
-        schema = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.binary()), ("words", pa.binary())])
         for batch in batches:
-            for doc_id, n, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if size and size + n > FRAME:
+            ids, at, ends = batch.column(0).to_pylist(), 0, np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            while at < len(ids):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BYTES, "right")))
+                flat, own = encoder.encode(batch.column(1).slice(at, to - at), end)
+                names += ids[at:to]
+                counts += own.tolist()
+                parts.append(flat)
+                size += len(flat)
+                at = to
+                if size >= FRAME:
                     yield close()
-                names.append(doc_id)
-                counts.append(n)
-                parts.append(np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1))
-                size += n
         if names:
             yield close()
 
-    rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "n", "ids").mapInArrow(frames, _FRAMES).write.mode("overwrite").parquet(path)
+    rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(frames, _FRAMES).write.mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
