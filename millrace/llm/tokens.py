@@ -30,54 +30,52 @@ FRAME = 1 << 20
 #: Ids in a word and bits of each, by selector from 1.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-#: Bytes of text encoded at once.
-_BYTES = 1 << 25
+#: Bytes of text, and distinct parts of it, that are encoded at once.
+_BYTES, _TOGETHER = 1 << 25, 1 << 13
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, offsets): `values` as unsigned 64-bit words, and the first word of each block of `block` values.
 
-    All blocks fill their next word at once, so a call takes as many rounds as the fullest block has words.
+    For every place the selector that takes the most values is found by running maxima; then all blocks step from word
+    to word at once.
     """
     values = np.asarray(values, np.uint64)
     n = len(values)
-    blocks = -(-n // block)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    bits = np.zeros(n, np.int64)
-    for b in (32, 16, 8, 4, 2, 1):
-        big = (values >> bits.astype(np.uint64)) >> np.uint64(b) > 0
-        bits[big] += b
-    bits += values > 0
-    padded = np.zeros(blocks * block + 60, np.int8)
-    padded[:n] = np.maximum(bits, 1)
-    flat = np.concatenate((values, np.zeros(len(padded) - n, np.uint64)))
-    at, end = np.arange(blocks) * block, np.minimum(np.arange(1, blocks + 1) * block, n)
-    rows, out = np.arange(blocks), []
-    while len(rows):
-        run = np.maximum.accumulate(padded[at[:, None] + np.arange(60)], axis=1)
-        selector = np.zeros(len(rows), np.int64)
-        for s in range(len(COUNTS) - 1, 0, -1):
-            fits = (run[:, COUNTS[s] - 1] <= WIDTHS[s]) & (at + COUNTS[s] <= end)
-            selector[fits] = s
-        words = np.zeros(len(rows), np.uint64)
-        for s in np.unique(selector):
-            own = np.flatnonzero(selector == s)
-            if s == 0:
-                continue
-            ids = flat[at[own][:, None] + np.arange(COUNTS[s])]
-            words[own] = (np.uint64(s) << np.uint64(60)) | np.bitwise_or.reduce(ids << (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64), axis=1)
-        out.append((rows, words))
-        escaped = selector == 0
-        if escaped.any():
-            out.append((rows[escaped], flat[at[escaped]]))
-        at = at + COUNTS[selector]
+    high = values >> np.uint64(32)
+    wide = np.flatnonzero(high)  # frexp is exact only below 2 ** 53
+    bits = np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.int8)
+    bits[wide] = 32 + np.frexp(high[wide].astype(np.float64))[1]
+    place = np.arange(n)
+    room = np.minimum(block - place % block, n - place)
+    best, most, before = np.zeros(n, np.int8), bits, 1
+    for s in range(len(COUNTS) - 1, 0, -1):  # from one value a word up; most[i] is the widest of values i to i + count - 1
+        count = int(COUNTS[s])
+        if count > n:
+            break
+        if count > 1:
+            most, before = np.maximum(most[: n - count + 1], most[count - before :][: n - count + 1]), count
+        best[: n - count + 1][(most <= WIDTHS[s]) & (room[: n - count + 1] >= count)] = s
+    at, end, seen = np.arange(0, n, block), np.minimum(np.arange(block, n + block, block), n), []
+    while len(at):
+        seen.append(at)
+        at = at + COUNTS[best[at]]
         live = at < end
-        rows, at, end = rows[live], at[live], end[live]
-    row, word = np.concatenate([r for r, _ in out]), np.concatenate([w for _, w in out])
-    order = np.argsort(row, kind="stable")
-    per = np.bincount(row, minlength=blocks)
-    return word[order], (np.cumsum(per) - per).astype(np.uint32)
+        at, end = at[live], end[live]
+    first = np.sort(np.concatenate(seen))
+    selector = best[first]
+    where = np.cumsum(1 + (selector == 0)) - (1 + (selector == 0))
+    words = np.zeros(len(first) + int((selector == 0).sum()), np.uint64)
+    for s in np.unique(selector):
+        own = selector == s
+        if s == 0:
+            words[where[own] + 1] = values[first[own]]
+            continue
+        ids = values[first[own][:, None] + np.arange(COUNTS[s])] << (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
+        words[where[own]] = (np.uint64(s) << np.uint64(60)) | np.bitwise_or.reduce(ids, axis=1)
+    return words, where[first % block == 0].astype(np.uint32)
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
@@ -139,9 +137,10 @@ class WordEncoder:
         return [e.ids for e in run(texts, add_special_tokens=False)]
 
     def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain parts, which are one pre-token each, and their number by part: encoded as one text, in which the
-        tokens that end words end parts."""
-        ids = np.array(self._ids([" ".join(parts)])[0], np.int64)
+        """Ids of plain parts, which are one pre-token each, and their number by part: encoded as texts of many parts, in
+        which the tokens that end words end parts. Texts are short, as the library holds much for each character."""
+        found = [np.array(self._ids([" ".join(parts[i : i + _TOGETHER])])[0], np.int64) for i in range(0, len(parts), _TOGETHER)]
+        ids = np.concatenate(found) if found else np.zeros(0, np.int64)
         return ids, np.diff(np.concatenate(([0], np.flatnonzero(self.last[ids]) + 1)))
 
     def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +194,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1)
     dealing by range reads its input twice, once for a sample, and encoding is the dear step.
     """
     spark = docs.sparkSession
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)  # larger shards have fewer distinct words
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.crc32("text"))
 
     def frames(batches):
