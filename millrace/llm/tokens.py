@@ -31,7 +31,9 @@ FRAME = 1 << 20
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Bytes of text, and distinct parts of it, that are encoded at once.
-_BYTES, _TOGETHER = 1 << 25, 1 << 13
+_BYTES, _TOGETHER = 1 << 23, 1 << 13
+#: Distinct words whose ids are kept from one run of texts to the next.
+_KEPT = 400_000
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +124,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self._reset()
         suffix = self.tokenizer.model.end_of_word_suffix
         if not suffix:
             raise ValueError("this tokenizer doesn't mark the ends of words")
@@ -132,6 +135,10 @@ class WordEncoder:
         if self.encode(pa.array(probe), 0)[0].tolist() != [i for x in self._ids(probe) for i in [*x, 0]]:
             raise ValueError("this tokenizer's ids depend on white space, case or other cuts of ASCII")
 
+    def _reset(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in run(texts, add_special_tokens=False)]
@@ -176,11 +183,21 @@ class WordEncoder:
         low = pc.replace_substring(pc.if_else(pc.match_substring_regex(texts, r"\pM"), texts, pc.ascii_lower(texts)), "\n", " ")
         cut = pc.split_pattern(low, " ")
         coded = pc.list_flatten(cut).dictionary_encode()
-        words = coded.dictionary
-        flat, ends = _lists(*self._of_words(words), coded.indices.to_numpy())
+        if len(self.index) > _KEPT:  # changes no result
+            self._reset()
+        words, index, new = coded.dictionary.to_pylist(), self.index, []
+        for w in words:
+            if w not in index:
+                index[w] = len(index)
+                new.append(w)
+        if new:
+            ids, counts = self._of_words(pa.array(new, pa.string()))
+            self.ids, self.counts = np.concatenate((self.ids, ids.astype(np.int32))), np.concatenate((self.counts, counts))
+        which = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        flat, ends = _lists(self.ids, self.counts, which[coded.indices.to_numpy()])
         at = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))
         counts = np.diff(np.concatenate(([0], ends))[at])
-        return np.insert(flat, np.cumsum(counts), end).astype(np.uint32), counts + 1
+        return np.insert(flat, np.cumsum(counts), end).astype(np.uint32, copy=False), counts + 1
 
 
 _FRAMES = "shard int, frame int, start long, doc_ids array<long>, counts array<long>, offsets binary, words binary"
