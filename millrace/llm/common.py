@@ -51,16 +51,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Spark deletes the shuffle files of a query at its end where this is on.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
+    """Write `df` to the shared folder and read it back: computed once, lineage cut, safe against lost executors.
+
+    The write's own shuffle files are deleted at its end, and those of earlier steps once nothing refers to them.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    gc.collect()  # so that Spark's cleaner can delete the shuffle files of finished steps
+    path, before = fresh_path(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that materialize() gave and nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """Hint a broadcast only where the counted `rows` stay within `max_rows`; else Spark shuffles."""
     return F.broadcast(df) if rows <= max_rows else df.hint("merge")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import broadcast_if_small, materialize
+from millrace.llm.common import broadcast_if_small, drop, materialize
 
 _WS = r"[\x20\x09-\x0D]+"
 #: Buckets of the rarity table: its size is fixed, whatever the corpus.
@@ -21,6 +21,10 @@ _BUCKETS = 1 << 16
 #: Rows of a few longs that may be broadcast; more are joined by shuffles.
 _BROADCAST_ROWS = 1_000_000
 _LAST = (1 << 63) - 1
+#: Words from which a set's bitmap has 256 bits, not 64; and parts of the word space that round 2 takes one by one, so
+#: that only one part's prefixes lie in shuffle files at a time.
+_WIDE, _PASSES = 48, 4
+_BITMAP = ("b0", "b1", "b2", "b3")
 
 
 def _plain(text: Column) -> Column:
@@ -70,41 +74,45 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode_outer(F.split(_plain(F.col("text")), "\n")).alias("line", "raw"))
     rows = rows.select("doc", "line", _tokens(F.col("raw"), levels).alias("tokens"))
     n = F.size("tokens")
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    fold = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x)))
+    word = lambda w: F.aggregate(F.filter("tokens", lambda x: F.shiftright(x, 6).bitwiseAND(3) == w), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x)))
+    bits = [F.when(n <= _WIDE, fold if w == 0 else F.lit(0).cast("long")).otherwise(word(w)).alias(b) for w, b in enumerate(_BITMAP)]
     prefix = F.when(n >= min_words, F.slice("tokens", F.lit(1), n - _tail(n, similarity)))
-    lines = materialize(rows.select("doc", "line", F.xxhash64("tokens").alias("cls"), n.alias("n"), prefix.alias("prefix"), bits.alias("bitmap")), "lines").filter(F.col("n") >= min_words)
+    wide = materialize(rows.select("doc", "line", F.xxhash64("tokens").alias("cls"), n.alias("n"), prefix.alias("prefix"), *bits), "lines-wide")
     place = (F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("line")).cast("decimal(38,0)")
-    classes = materialize(lines.groupBy("cls").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "prefix", "bitmap")]), "line-classes")
+    classes = materialize(wide.filter(F.col("n") >= min_words).groupBy("cls").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "prefix", *_BITMAP)]), "line-classes")
+    lines = materialize(wide.filter(F.col("n") >= min_words).select("doc", "line", "cls"), "lines")
+    drop(wide)
 
     def close(a: str, b: str) -> Column:
         """What the sizes and bitmaps of two sets allow."""
         na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-        return (na * 1000 >= nb * per) & (nb * 1000 >= na * per) & (F.bit_count(F.col(f"{a}bitmap").bitwiseXOR(F.col(f"{b}bitmap"))) <= na + nb - 2 * _need(na, nb, similarity))
+        folded = lambda side: reduce(lambda x, y: x.bitwiseOR(y), [F.col(side + c) for c in _BITMAP])
+        apart = F.when((na > _WIDE) & (nb > _WIDE), sum(F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in _BITMAP)).otherwise(F.bit_count(folded(a).bitwiseXOR(folded(b))))
+        return (na * 1000 >= nb * per) & (nb * 1000 >= na * per) & (apart <= na + nb - 2 * _need(na, nb, similarity))
 
     # Round 1: each set against the earliest that shares its rarest or second rarest word. Settles the many variants of
     # a passage with one comparison each.
-    heads = classes.select("cls", "first", "n", "bitmap", F.explode(F.slice("prefix", 1, 2)).alias("token"))
+    heads = classes.select("cls", "first", "n", *_BITMAP, F.explode(F.slice("prefix", 1, 2)).alias("token"))
     lead = heads.groupBy("token").agg(F.min("first").alias("lead"), F.count("*").alias("members")).filter("members > 1").select("token", "lead")
-    asked = heads.join(lead, "token").filter("lead < first").select("cls", "n", "bitmap", "lead")
-    of = classes.select(F.col("first").alias("lead"), F.col("cls").alias("b_cls"), F.col("n").alias("b_n"), F.col("bitmap").alias("b_bitmap"))
+    asked = heads.join(lead, "token").filter("lead < first").select("cls", "n", *_BITMAP, "lead")
+    of = classes.select(F.col("first").alias("lead"), F.col("cls").alias("b_cls"), F.col("n").alias("b_n"), *[F.col(c).alias(f"b_{c}") for c in _BITMAP])
     pairs = asked.join(of, "lead").filter(close("", "b_")).select(F.col("cls").alias("a"), F.col("b_cls").alias("b")).distinct()
     settled = materialize(_verified(docs, classes, pairs, levels, similarity).select(F.col("a").alias("cls")).distinct(), "line-settled")
     n_settled = settled.count()
     # Round 2: every set that is still open against all sets. The first word that two similar sets share has so many
-    # words after it in both as the sets must have in common; what words both prefixes share must make up what the rest
-    # of the sets can't.
+    # words after it in both as the sets must have in common.
     flagged = classes.join(broadcast_if_small(settled.withColumn("settled", F.lit(True)), n_settled, _BROADCAST_ROWS), "cls", "left")
-    posts = flagged.select("cls", "n", "bitmap", F.col("settled").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token"))
-    x, y = (posts.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "bitmap", "open", "pos")]) for side in "ab")
-    room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= _need(F.col("a_n"), F.col("b_n"), similarity)
-    met = x.join(y, (x.token == y.token) & (F.col("a_cls") < F.col("b_cls")) & (F.col("a_open") | F.col("b_open")) & room & close("a_", "b_"))
-    pairs = materialize(met.select("a_cls", "b_cls").distinct(), "line-candidates")
-    heads = lambda side: classes.select(F.col("cls").alias(f"{side}_cls"), F.col("n").alias(f"{side}_n"), F.col("prefix").alias(f"{side}_prefix"), F.col("first").alias(f"{side}_first"))
-    both = pairs.join(heads("a"), "a_cls").join(heads("b"), "b_cls")
-    rest = F.greatest(_tail(F.col("a_n"), similarity), _tail(F.col("b_n"), similarity))
-    both = both.filter(F.size(F.array_intersect("a_prefix", "b_prefix")) + rest >= _need(F.col("a_n"), F.col("b_n"), similarity))
-    late = F.col("a_first") > F.col("b_first")
-    pairs = both.select(F.when(late, F.col("a_cls")).otherwise(F.col("b_cls")).alias("a"), F.when(late, F.col("b_cls")).otherwise(F.col("a_cls")).alias("b"))
+    columns = ("cls", "n", *_BITMAP, "open", "pos")
+    found = []
+    for i in range(_PASSES):
+        posts = flagged.select("cls", "n", *_BITMAP, F.col("settled").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token")).filter(F.pmod("token", F.lit(_PASSES)) == i)
+        x, y = (posts.select("token", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
+        room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= _need(F.col("a_n"), F.col("b_n"), similarity)
+        met = x.join(y, (x.token == y.token) & (F.col("a_cls") < F.col("b_cls")) & (F.col("a_open") | F.col("b_open")) & room & close("a_", "b_"))
+        found.append(materialize(met.select("a_cls", "b_cls").distinct(), "line-candidates"))
+    pairs = _ordered(materialize(reduce(DataFrame.union, found).distinct(), "line-candidates"), classes)
     later = materialize(settled.union(_verified(docs, classes, pairs, levels, similarity).select("a")).distinct(), "line-later")
     # A class with a similar earlier one goes wholly; of any other its first line stays.
     fate = classes.select("cls", "first").join(broadcast_if_small(later.withColumn("later", F.lit(True)), later.count(), _BROADCAST_ROWS), "cls", "left").select("cls", "first", F.coalesce("later", F.lit(False)).alias("later"))
@@ -112,6 +120,16 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4)
     return gone.select(F.when(F.col("doc") < _LAST, F.col("doc")).alias("doc_id"), "line")
 
 
+def _ordered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) with b the class whose first line comes earlier."""
+    at, rows = classes.select("cls", "first"), pairs.count()
+    first = at.join(broadcast_if_small(pairs, rows, _BROADCAST_ROWS), F.col("cls") == F.col("a_cls")).select("a_cls", "b_cls", F.col("first").alias("fa"))
+    first = materialize(first, "line-ordered")
+    both = at.join(broadcast_if_small(first, rows, _BROADCAST_ROWS), F.col("cls") == F.col("b_cls")).select("a_cls", "b_cls", "fa", F.col("first").alias("fb"))
+    late = F.col("fa") > F.col("fb")
+    return both.select(F.when(late, F.col("a_cls")).otherwise(F.col("b_cls")).alias("a"), F.when(late, F.col("b_cls")).otherwise(F.col("a_cls")).alias("b"))
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Column, similarity: float) -> DataFrame:
     """The pairs of classes whose words, fetched from the first line of each, are similar."""
     pairs = materialize(pairs, "line-pairs")
