@@ -532,10 +532,59 @@ def cached_overwrite(spark, d):
     return spark.table(name).select("n_nationkey", "n_name")
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def partition_pruned_scan(spark, d):
+    """A partitioned table of which a filter leaves one folder to read."""
+    t, path = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), fresh_path(spark, "pruned")
+    write_partitions(t, path, ["o_orderstatus"])
+    return spark.read.schema(t.schema).parquet(path).filter("o_orderstatus = 'O'").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def insert_compressed(spark, d):
+    """Compressed text, read back."""
+    t, path = load(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), fresh_path(spark, "gzip")
+    write_directory(t, path, compression="gzip")
+    return read_text_table(spark, path, t.schema)
+
+
+@query("SELECT 'n_nationkey' AS col_name, 'int' AS data_type UNION ALL SELECT 'n_name', 'string' UNION ALL SELECT 'n_regionkey', 'int'")
+def ddl_describe(spark, d):
+    """DESCRIBE of a view."""
+    load(spark, d, "nation").createOrReplaceTempView("millrace_described")
+    return spark.sql("DESCRIBE millrace_described").select("col_name", "data_type")
+
+
+@query("SELECT 'kind=' || r AS part FROM (SELECT unnest(['F', 'O', 'P']) AS r)")
+def ddl_show_partitions(spark, d):
+    """SHOW PARTITIONS after an insert with dynamic partitions."""
+    name, path = _fresh_table(spark, "parts"), fresh_path(spark, "parts")
+    spark.sql(f"CREATE TABLE {name} (k BIGINT, kind STRING) USING parquet PARTITIONED BY (kind) LOCATION '{path}'")
+    spark.sql("INSERT INTO " + name + " PARTITION (kind) SELECT o_orderkey, o_orderstatus FROM {t}", t=load(spark, d, "orders"))
+    return spark.sql(f"SHOW PARTITIONS {name}").select(F.col("partition").alias("part"))
+
+
+@query()
+def explain_plan(spark, d):
+    """The physical plan of a query, as text."""
+    return spark.sql("EXPLAIN FORMATTED SELECT count(*) FROM {t} WHERE n_regionkey = 1", t=load(spark, d, "nation"))
+
+
+statement("fn_rand", "SELECT n_nationkey, rand(7) >= 0 AND rand(7) < 1 AS inside FROM {nation}", "SELECT n_nationkey, true AS inside FROM nation")
+statement("join_stream_hint", "SELECT /*+ STREAMTABLE(o) */ o_orderkey, c_name FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+statement("order_by_total", "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal DESC, c_custkey")
+statement("order_by_aggregate_limit", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10")
+statement("union_with_lateral", "SELECT n_nationkey, v FROM (SELECT n_nationkey, n_name FROM {nation} UNION ALL SELECT r_regionkey + 100, r_name FROM {region}) u LATERAL VIEW explode(array(n_name, lower(n_name))) x AS v", "SELECT n_nationkey, unnest([n_name, lower(n_name)]) AS v FROM (SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey + 100, r_name FROM region)")
+statement("join_outer_filtered", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey WHERE c_nationkey = 3 AND (o_orderkey IS NULL OR o_orderkey > 500)")
+statement("fn_null_logic", "SELECT event_id, nullif(user_id % 2, 0) = 1 OR value > 1000 AS f_or, nullif(user_id % 2, 0) = 1 AND value > 0 AS f_and, NOT (nullif(user_id % 2, 0) = 1) AS f_not FROM {events}")
+statement("fn_implicit_cast", "SELECT p_partkey, p_size + '1' AS f_int, p_size < 10.5D AS f_mixed, concat(p_size, '') AS f_string FROM {part}", "SELECT p_partkey, (p_size + 1)::bigint AS f_int, p_size < 10.5 AS f_mixed, p_size::varchar AS f_string FROM part")
+
+
 # --- beyond the dialect ----------------------------------------------------------------------------------------------
 statement("extra_window", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM {orders}")
 statement("extra_rollup", "SELECT n_regionkey, n_nationkey, count(*) AS n FROM {nation} GROUP BY ROLLUP (n_regionkey, n_nationkey)")
 statement("extra_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 statement("extra_set_ops", "(SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}) EXCEPT SELECT n_nationkey FROM {nation} WHERE n_regionkey = 0")
 statement("extra_exists", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000) AND c_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey < 3)")
+statement("extra_lateral_outer", "SELECT n_nationkey, a FROM {nation} LATERAL VIEW OUTER explode(CASE WHEN n_nationkey % 2 = 0 THEN array(1, 2) END) x AS a", "SELECT n_nationkey, unnest(CASE WHEN n_nationkey % 2 = 0 THEN [1, 2] ELSE [NULL] END) AS a FROM nation")
 statement("extra_anti_join", "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
