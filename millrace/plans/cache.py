@@ -45,7 +45,13 @@ STORAGE_LEVELS = {
     "MEMORY_AND_DISK": StorageLevel.MEMORY_AND_DISK, "MEMORY_AND_DISK_2": StorageLevel.MEMORY_AND_DISK_2, "MEMORY_AND_DISK_SER": StorageLevel.MEMORY_AND_DISK, "MEMORY_AND_DISK_SER_2": StorageLevel.MEMORY_AND_DISK_2, "OFF_HEAP": StorageLevel.OFF_HEAP,
 }
 DEFAULT_LEVEL = "MEMORY_AND_DISK"
-MODE_KEYS, LEVEL_KEYS = ("cache", "shark.cache"), ("cache.storagelevel", "shark.cache.storagelevel")
+
+
+def property_of(properties: dict[str, str], name: str) -> str | None:
+    """The value of property `name`, in any case and under any prefix, as in my.cache for cache."""
+    return next((v for k, v in properties.items() if f".{k.lower()}".endswith(f".{name.lower()}")), None)
+
+
 #: The property under which a table's definition is kept for recovery.
 DEFINITION = "cache.definition"
 
@@ -60,10 +66,8 @@ def storage_level(name: str | None) -> StorageLevel:
 
 def mode_of(table: str, properties: dict[str, str], by_name: bool = True) -> CacheMode:
     """What a CREATE TABLE AS asks for: its property, or else, if `by_name`, the ending of the table's name."""
-    low = {k.lower(): v for k, v in properties.items()}
-    for key in MODE_KEYS:
-        if key in low:
-            return CacheMode.of(low[key])
+    if (asked := property_of(properties, "cache")) is not None:
+        return CacheMode.of(asked)
     name = table.split(".")[-1].lower()
     if by_name and name.endswith("_cached"):
         return CacheMode.HEAP

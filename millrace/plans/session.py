@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.compat import register
 from millrace.plans import dialect, render
-from millrace.plans.cache import CacheMode, CachedTables, mode_of, parse_ctas, parse_inserts, LEVEL_KEYS
+from millrace.plans.cache import CachedTables, CacheMode, mode_of, parse_ctas, parse_inserts, property_of
 
 
 class QueryExecutionError(RuntimeError):
@@ -81,7 +81,7 @@ class Warehouse:
     def _run(self, text: str) -> DataFrame:
         if m := re.match(r"SET\s+(?:hiveconf:|hivevar:)?([\w.]+)\s*=\s*(.*)$", text, re.I | re.S):
             self.variables[m[1]] = m[2].strip()
-            if m[1] == "shark.cache.flag.checkTableName" or m[1] == "cache.byName":
+            if f".{m[1].lower()}".endswith((".cache.flag.checktablename", ".cache.byname")):
                 self.cache_by_name = m[2].strip().lower() == "true"
             if not m[1].startswith("spark."):
                 return self._empty()
@@ -107,7 +107,7 @@ class Warehouse:
         if keep and self.spark.catalog.tableExists(table):
             return self._empty()
         mode = mode_of(table, properties, self.cache_by_name)
-        level = next((v for k, v in properties.items() if k.lower() in LEVEL_KEYS), None)
+        level = property_of(properties, "cache.storageLevel")
         rows = self.spark.sql(query)
         if mode is CacheMode.NONE:
             rows.write.format("parquet").saveAsTable(table)

@@ -78,7 +78,7 @@ def test_what_is_cached(w):
     w.sql("CREATE TABLE by_property TBLPROPERTIES ('cache' = 'true', 'cache.storageLevel' = 'MEMORY_ONLY') AS SELECT * FROM users")
     w.sql("CREATE TABLE Mixed_Cached AS SELECT * FROM users")
     w.sql("CREATE TABLE plainly AS SELECT * FROM users")
-    w.sql("CREATE TABLE off_cached TBLPROPERTIES ('shark.cache' = 'false') AS SELECT * FROM users")
+    w.sql("CREATE TABLE off_cached TBLPROPERTIES ('any.cache' = 'false') AS SELECT * FROM users")
     w.sql("CREATE TABLE big_tachyon AS SELECT * FROM users")
     assert {"by_property", "MIXED_cached", "big_tachyon"} <= {t for t in ("by_property", "MIXED_cached", "big_tachyon") if t in w.cached}
     assert "plainly" not in w.cached and "off_cached" not in w.cached
@@ -93,7 +93,7 @@ def test_what_is_cached(w):
 
 def test_name_rule_can_be_off(spark):
     assert mode_of("a_cached", {}) is CacheMode.HEAP and mode_of("db.a_TACHYON", {}) is CacheMode.TACHYON
-    assert mode_of("a_cached", {}, by_name=False) is CacheMode.NONE and mode_of("x", {"Shark.Cache": "HEAP"}) is CacheMode.HEAP
+    assert mode_of("a_cached", {}, by_name=False) is CacheMode.NONE and mode_of("x", {"Any.Cache": "HEAP"}) is CacheMode.HEAP
     with pytest.raises(InvalidCacheMode):
         CacheMode.of("sometimes")
     with pytest.raises(ValueError):
