@@ -1,14 +1,16 @@
-"""Helpers that the text operators share: table access, shared storage, sizes and ASCII case."""
+"""Helpers that the text operators share: table access, steps written to shared storage, and broadcasts of known size."""
 
 from __future__ import annotations
 
 import gc
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from millrace.sources.scratch import fresh_path
+
+#: What lower-casing of A-Z alone changes, and to what.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,35 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir as the cluster names it.
-
-    Where it is unset, a local master (tests) gets a folder of its own; a cluster gets an error, as a
-    machine-local folder would lose data there.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if spark.sparkContext.getCheckpointDir():
-        return spark.sparkContext.getCheckpointDir().rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = "file:///tmp/millrace-shared"
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop)
-    fs.deleteOnExit(hadoop)
-    return path
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path in the shared folder."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -82,8 +55,3 @@ def drop(df: DataFrame) -> None:
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """Hint a broadcast only where the counted `rows` stay within `max_rows`; else Spark shuffles."""
     return F.broadcast(df) if rows <= max_rows else df.hint("merge")
-
-
-def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z alone; lower() would also change other letters."""
-    return F.translate(c, _UPPER, _LOWER)

@@ -117,5 +117,27 @@ from w left join pos using (doc_id) left join it using (doc_id)
 """
 
 
+def _secrets_sql() -> str:
+    """Each rule's matches and the gaps between them; a match starts after all gaps and matches before it."""
+    from millrace.llm.secrets import ADDED, BASE
+
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    rules = [(i, r, quoted(r.search or r.pattern)) for i, r in enumerate((*BASE, *ADDED))]
+    matches = " union all ".join(f"select doc_id, {i} as ord, '{r.kind}' as kind, regexp_extract_all(t, {p}) as m, regexp_split_to_array(t, {p}) as g from d" for i, r, p in rules)
+    held = " ".join(f"when {i} then length(regexp_extract(s, {p}, {r.group})) >= {r.least}" for i, r, p in rules)
+    counts = ", ".join(f"count(*) filter (ord = {i}) as n_{r.kind}" for i, r in enumerate(BASE))
+    said = "string_agg(kind || ':' || a || ':' || (a + length(s)), ',' order by a, ord)"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+r as ({matches}),
+x as (
+  select doc_id, ord, kind, m[k] as s, coalesce(list_sum(list_transform(g[1:k], lambda z: length(z))), 0)::bigint + coalesce(list_sum(list_transform(m[1:k-1], lambda z: length(z))), 0)::bigint as a
+  from (select *, unnest(range(1, len(m) + 1)) as k from r)),
+y as (select * from x where case ord {held} end),
+z as (select doc_id, {counts}, {said} filter (ord < {len(BASE)}) as base, {said} as spans from y group by doc_id)
+select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join z using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": _CONTAMINATION}
+    return {"op2_benchmark_decontamination": _CONTAMINATION, "op8_secret_scan": _secrets_sql()}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import _LOWER, _UPPER, materialize
+from millrace.llm.common import LOWER, UPPER, materialize
 
 #: Distinct benchmark grams or windows that may be broadcast: 16 bytes a gram, about 100 a window.
 BROADCAST_GRAMS, BROADCAST_WINDOWS = 1_000_000, 300_000
@@ -21,7 +21,7 @@ _EVERY = "0"  # the gram that each document has, so that none is lost in the joi
 def words_of(text: Column) -> Column:
     """Words of A-Z-lower-cased text: runs of a-z, 0-9 and all characters beyond ASCII."""
     odd = text.rlike(r"[\x{80}-\x{10FFFF}&&[^\p{Ll}\p{Lo}\p{M}\p{P}]]")  # letters that lower() might change as well
-    low = F.when(odd, F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+    low = F.when(odd, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
     return F.filter(F.split(F.coalesce(low, F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
