@@ -92,25 +92,27 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4)
         apart = F.when((na > _WIDE) & (nb > _WIDE), sum(F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in _BITMAP)).otherwise(F.bit_count(folded(a).bitwiseXOR(folded(b))))
         return (na * 1000 >= nb * per) & (nb * 1000 >= na * per) & (apart <= na + nb - 2 * _need(na, nb, similarity))
 
-    # Round 1: each set against the earliest that shares its rarest or second rarest word. Settles the many variants of
-    # a passage with one comparison each.
-    heads = classes.select("cls", "first", "n", *_BITMAP, F.explode(F.slice("prefix", 1, 2)).alias("token"))
+    # Round 1: each set against the earliest that shares one of its four rarest words. Settles the many variants of a
+    # passage with a few comparisons each.
+    heads = classes.select("cls", "first", "n", *_BITMAP, F.explode(F.slice("prefix", 1, 4)).alias("token"))
     lead = heads.groupBy("token").agg(F.min("first").alias("lead"), F.count("*").alias("members")).filter("members > 1").select("token", "lead")
     asked = heads.join(lead, "token").filter("lead < first").select("cls", "n", *_BITMAP, "lead")
     of = classes.select(F.col("first").alias("lead"), F.col("cls").alias("b_cls"), F.col("n").alias("b_n"), *[F.col(c).alias(f"b_{c}") for c in _BITMAP])
     pairs = asked.join(of, "lead").filter(close("", "b_")).select(F.col("cls").alias("a"), F.col("b_cls").alias("b")).distinct()
     settled = materialize(_verified(docs, classes, pairs, levels, similarity).select(F.col("a").alias("cls")).distinct(), "line-settled")
     n_settled = settled.count()
-    # Round 2: every set that is still open against all sets. The first word that two similar sets share has so many
-    # words after it in both as the sets must have in common.
+    # Round 2: every set that is still open against all earlier ones; sets of one document may be in either order. The
+    # first word that two similar sets share has so many words after it in both as the sets must have in common.
     flagged = classes.join(broadcast_if_small(settled.withColumn("settled", F.lit(True)), n_settled, _BROADCAST_ROWS), "cls", "left")
-    columns = ("cls", "n", *_BITMAP, "open", "pos")
+    columns = ("cls", "n", *_BITMAP, "open", "pos", "doc")
+    doc = F.expr("first div cast(4294967296 as decimal(38,0))").alias("doc")  # whole division: / would round
     found = []
     for i in range(_PASSES):
-        posts = flagged.select("cls", "n", *_BITMAP, F.col("settled").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token")).filter(F.pmod("token", F.lit(_PASSES)) == i)
+        posts = flagged.select("cls", "n", *_BITMAP, F.col("settled").isNull().alias("open"), doc, F.posexplode("prefix").alias("pos", "token")).filter(F.pmod("token", F.lit(_PASSES)) == i)
         x, y = (posts.select("token", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
         room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= _need(F.col("a_n"), F.col("b_n"), similarity)
-        met = x.join(y, (x.token == y.token) & (F.col("a_cls") < F.col("b_cls")) & (F.col("a_open") | F.col("b_open")) & room & close("a_", "b_"))
+        later = (F.col("a_open") & (F.col("a_doc") >= F.col("b_doc"))) | (F.col("b_open") & (F.col("b_doc") >= F.col("a_doc")))
+        met = x.join(y, (x.token == y.token) & (F.col("a_cls") < F.col("b_cls")) & later & room & close("a_", "b_"))
         found.append(materialize(met.select("a_cls", "b_cls").distinct(), "line-candidates"))
     pairs = _ordered(materialize(reduce(DataFrame.union, found).distinct(), "line-candidates"), classes)
     later = materialize(settled.union(_verified(docs, classes, pairs, levels, similarity).select("a")).distinct(), "line-later")
