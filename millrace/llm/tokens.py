@@ -31,9 +31,9 @@ FRAME = 1 << 20
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Bytes of text, and distinct parts of it, that are encoded at once.
-_BYTES, _TOGETHER = 1 << 23, 1 << 13
+_BYTES, _TOGETHER = 1 << 22, 1 << 13
 #: Distinct words whose ids are kept from one run of texts to the next.
-_KEPT = 400_000
+_KEPT = 150_000
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -217,10 +217,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1)
     def frames(batches):
         import os
 
+        import tokenizers
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer_path)
+        # one encoder a worker process, kept with the library: each loads a large vocabulary
+        loaded = tokenizers.__dict__.setdefault("_millrace_encoders", {})
+        if tokenizer_path not in loaded:
+            loaded[tokenizer_path] = WordEncoder(tokenizer_path)
+        encoder = loaded[tokenizer_path]
         shard, number, start = TaskContext.get().partitionId(), 0, 0
         names, counts, parts, size = [], [], [], 0
         schema = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.binary()), ("words", pa.binary())])
