@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its lower-cased words. Words are ordered by rarity over the whole corpus; two sets of Jaccard
-similarity t or more then share a word within their prefixes. Prefix, positional and length filters and a 64-bit set
+similarity t or more then share a word within their prefixes. Prefix, positional and length filters and a set's
 bitmap leave few pairs, whose words are fetched and compared. A line goes if an earlier line (by doc_id, then line
 number) is similar to it, whether or not that earlier line stays.
 """
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import broadcast_if_small, drop, materialize
 
-_WS = r"[\x20\x09-\x0D]+"
 #: Buckets of the rarity table: its size is fixed, whatever the corpus.
 _BUCKETS = 1 << 16
 #: Rows of a few longs that may be broadcast; more are joined by shuffles.
@@ -25,6 +24,9 @@ _LAST = (1 << 63) - 1
 #: that only one part's prefixes lie in shuffle files at a time.
 _WIDE, _PASSES = 48, 4
 _BITMAP = ("b0", "b1", "b2", "b3")
+#: The place of a line among all, doc_id * 2 ** 32 + line, taken apart again; / would round, and % follow the sign.
+_PLACE_LINE = "pmod(first, cast(4294967296 as decimal(38,0)))"
+_PLACE_DOC = f"(first - {_PLACE_LINE}) div cast(4294967296 as decimal(38,0))"
 
 
 def _plain(text: Column) -> Column:
@@ -105,7 +107,7 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4)
     # first word that two similar sets share has so many words after it in both as the sets must have in common.
     flagged = classes.join(broadcast_if_small(settled.withColumn("settled", F.lit(True)), n_settled, _BROADCAST_ROWS), "cls", "left")
     columns = ("cls", "n", *_BITMAP, "open", "pos", "doc")
-    doc = F.expr("first div cast(4294967296 as decimal(38,0))").alias("doc")  # whole division: / would round
+    doc = F.expr(_PLACE_DOC).alias("doc")
     found = []
     for i in range(_PASSES):
         posts = flagged.select("cls", "n", *_BITMAP, F.col("settled").isNull().alias("open"), doc, F.posexplode("prefix").alias("pos", "token")).filter(F.pmod("token", F.lit(_PASSES)) == i)
@@ -137,9 +139,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Col
     pairs = materialize(pairs, "line-pairs")
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b"))).distinct()
     where = classes.select("cls", "first").join(broadcast_if_small(asked, 2 * pairs.count(), _BROADCAST_ROWS), "cls")
-    doc = F.expr("first div cast(4294967296 as decimal(38,0))")  # whole division: / would round
-    spot = F.struct(F.expr("cast(first % cast(4294967296 as decimal(38,0)) as int)").alias("line"), "cls")
-    wanted = materialize(where.groupBy(doc.alias("doc")).agg(F.collect_list(spot).alias("at")), "line-places")
+    spot = F.struct(F.expr(_PLACE_LINE).cast("int").alias("line"), "cls")
+    wanted = materialize(where.groupBy(F.expr(_PLACE_DOC).alias("doc")).agg(F.collect_list(spot).alias("at")), "line-places")
     rows = wanted.select(F.sum(F.size("at"))).first()[0] or 0
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
     found = own.join(broadcast_if_small(wanted, rows, _BROADCAST_ROWS), "doc").select("at", F.split(_plain(F.col("text")), "\n").alias("lines"))

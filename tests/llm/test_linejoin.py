@@ -29,6 +29,7 @@ BASE = [f"t{i}" for i in range(40)]
 ROWS = [
     (1, "The quick brown fox\nTHE  quick\tbrown fox\nshort line\nshort line"), (2, "the quick brown fox jumps\nquick brown fox the"), (3, None), (4, ""), (5, "\n\n"),
     (6, " ".join(BASE)), (7, " ".join(BASE[1:] + ["new"])), (8, " ".join(BASE[4:])), (9, " ".join(BASE[9:])), (10, " ".join(BASE[3:] + [f"u{i}" for i in range(3)])), (11, " ".join(BASE[::-1])),
+    (-7, "zero\nminus seven comes before all\nnow the second line of it"), (-6, "x\nminus seven comes before all\nnow the second line of this"), (20, "minus seven comes before all others"),
     (None, "the quick brown fox\nonly here are such words"), (12, "a b c d e\r\na b c d e f\x0b"), (13, " ".join(f"v{i}" for i in range(3000))), (14, " ".join(f"v{i}" for i in range(200, 3000))), (15, "x " * 9000 + "y z w q"),
 ]
 
