@@ -120,11 +120,16 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, seed:
 
 
 def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
-    """`docs` with one row of each component: that of its smallest doc_id, and of that doc_id's smallest text hash.
+    """`docs` with one row of each component, as keep_first() chooses it."""
+    return keep_first(docs, near_duplicates(docs, distance, shingle))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`docs` with one row of each component in `found` (doc_id, component_id, text_hash): that of its smallest doc_id,
+    and of that doc_id's smallest text hash.
 
     Components in which no row has a doc_id keep all their rows.
     """
-    found = near_duplicates(docs, distance, shingle)
     first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("_keep_hash"))
     hashed = docs.withColumn("_row_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_key", F.col("doc_id").cast("long"))
     kept = hashed.join(first.withColumnRenamed("doc_id", "_keep_id"), (F.col("_key") == F.col("_keep_id")) & (F.col("_row_hash") == F.col("_keep_hash"))).dropDuplicates(["_key"])
