@@ -80,7 +80,8 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4)
     fold = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x)))
     word = lambda w: F.aggregate(F.filter("tokens", lambda x: F.shiftright(x, 6).bitwiseAND(3) == w), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x)))
     bits = [F.when(n <= _WIDE, fold if w == 0 else F.lit(0).cast("long")).otherwise(word(w)).alias(b) for w, b in enumerate(_BITMAP)]
-    prefix = F.when(n >= min_words, F.slice("tokens", F.lit(1), n - _tail(n, similarity)))
+    # Sets of so few words that one word more is too many are similar to themselves alone: cls settles them.
+    prefix = F.when((n >= min_words) & (n * 1000 >= (n + 1) * per), F.slice("tokens", F.lit(1), n - _tail(n, similarity)))
     wide = materialize(rows.select("doc", "line", F.xxhash64("tokens").alias("cls"), n.alias("n"), prefix.alias("prefix"), *bits), "lines-wide")
     place = (F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("line")).cast("decimal(38,0)")
     classes = materialize(wide.filter(F.col("n") >= min_words).groupBy("cls").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "prefix", *_BITMAP)]), "line-classes")

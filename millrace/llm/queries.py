@@ -78,7 +78,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed line numbers of every row of documents."""
     from millrace.llm.linejoin import line_report
 
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

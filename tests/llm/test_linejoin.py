@@ -2,6 +2,8 @@
 
 import re
 
+import corpus_pipeline
+from millrace.llm import queries as llm
 from millrace.llm.linejoin import dedup_lines, line_report
 
 WS = r"[\x20\x09-\x0D]+"
@@ -67,3 +69,14 @@ def test_repeated_rows_and_empty_table(spark):
     assert {(r.doc_id, tuple(r.removed)) for r in report} >= {(2, (0,))}
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert line_report(empty).count() == 0 and dedup_lines(empty).columns == empty.columns
+
+
+def test_lines_of_few_words(spark, tmp_path):
+    rows = [*ROWS, (30, "}\nend\n\nEND\nb a\n你好世界再见\nno no no no no"), (31, "a  b\n你好世界再见\n}\n\nno\na b c"), (32, "a b c d\na b c"), (33, "c b a\na b c d e\na b c d f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want, found = plain(rows, least=1), llm.op9_line_dedup(spark, str(tmp_path)).collect()
+    assert {(30, 3), (31, 0), (31, 1), (31, 2), (31, 4), (32, 1), (33, 0), (33, 1)} <= want and not {(31, 3), (30, 2)} & want
+    assert {(r.doc_id, i) for r in found for i in r.removed} == want
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()}
+    assert left[31] == "\n".join(line for i, line in enumerate(rows[-3][1].split("\n")) if (31, i) not in want)
