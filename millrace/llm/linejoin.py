@@ -3,14 +3,15 @@
 A line is the set of its lower-cased words. Words are ordered by rarity over the whole corpus; two sets of Jaccard
 similarity t or more then share a word within their prefixes. Prefix, positional and length filters and a set's
 bitmap leave few pairs, whose words are fetched and compared. A line goes if an earlier line (by doc_id, then line
-number) is similar to it, whether or not that earlier line stays.
+number) is similar to it, whether or not that earlier line stays. Rows of one doc_id, or of none, come by their texts'
+hashes; of equal rows one comes before the others.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import broadcast_if_small, drop, materialize
@@ -24,9 +25,12 @@ _LAST = (1 << 63) - 1
 #: that only one part's prefixes lie in shuffle files at a time.
 _WIDE, _PASSES = 48, 4
 _BITMAP = ("b0", "b1", "b2", "b3")
-#: The place of a line among all, doc_id * 2 ** 32 + line, taken apart again; / would round, and % follow the sign.
-_PLACE_LINE = "pmod(first, cast(4294967296 as decimal(38,0)))"
-_PLACE_DOC = f"(first - {_PLACE_LINE}) div cast(4294967296 as decimal(38,0))"
+#: The place of a line among all, doc_id * 2 ** 62 + at, taken apart again; / would round, and % follow the sign. `at` is
+#: sub * 2 ** 31 + line, sub numbering the texts of a doc_id.
+_PLACE_AT = "cast(pmod(first, cast(4611686018427387904 as decimal(38,0))) as long)"
+_PLACE_DOC = f"(first - {_PLACE_AT}) div cast(4611686018427387904 as decimal(38,0))"
+_SUB, _LINE = 31, (1 << 31) - 1
+
 
 
 def _plain(text: Column) -> Column:
@@ -63,18 +67,57 @@ def _tail(n: Column, t: float) -> Column:
     return F.ceil(n * F.lit(round(t * 1000)) / 1000 - 1e-9).cast("int") - 1
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """`docs` with _doc and _sub, which equal rows alone share, and _copy: 0 for one of equal rows, more for the others.
+
+    _doc is doc_id, the last number for null; _sub is 0 unless rows of other texts have the same _doc. Texts are known by
+    64-bit hashes.
+    """
+    own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    keys = own.select("_doc", F.xxhash64("text").alias("_hash"))
+    shared = materialize(keys.groupBy("_doc").agg(F.count("*").alias("rows")).filter("rows > 1").select("_doc"), "line-shared-ids")
+    n_shared = shared.count()
+    if not n_shared:
+        return own.withColumn("_sub", F.lit(0).cast("long")).withColumn("_copy", F.lit(0))
+    # Numbers in the order of (_doc, _hash) over all texts of such doc_ids: sorted ranges, each after the rows before it.
+    texts = keys.join(broadcast_if_small(shared, n_shared, _BROADCAST_ROWS), "_doc").groupBy("_doc", "_hash").agg(F.count("*").alias("_rows"))
+    texts = texts.repartitionByRange("_doc", "_hash").sortWithinPartitions("_doc", "_hash").withColumn("_id", F.monotonically_increasing_id())
+    texts = materialize(texts, "line-shared-texts")
+    part = F.shiftright("_id", 33)
+    before, starts = 0, []
+    for r in texts.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a range
+        starts += [F.lit(r.part), F.lit(before)]
+        before += r["count"]
+    sub = (F.element_at(F.create_map(*starts), part) + F.col("_id").bitwiseAND((1 << 33) - 1)).cast("long")
+    named = broadcast_if_small(texts.select("_doc", "_hash", "_rows", sub.alias("_sub")), before, _BROADCAST_ROWS)
+    own = own.withColumn("_hash", F.xxhash64("text")).join(named, ["_doc", "_hash"], "left").withColumn("_sub", F.coalesce("_sub", F.lit(0).cast("long")))
+    repeated = F.coalesce(F.col("_rows") > 1, F.lit(False))
+    order = Window.partitionBy("_doc", "_sub").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    once = own.filter(~repeated).withColumn("_copy", F.lit(0))
+    again = own.filter(repeated).withColumn("_copy", F.row_number().over(order) - 1)
+    return once.union(again).drop("_hash", "_rows")
+
+
+def _wordy(min_words: int) -> Column:
+    """The numbers of the lines that take part; all of them go from a row that an equal one comes before."""
+    words = lambda x: F.size(F.array_remove(F.array_distinct(F.split(x, " ")), ""))
+    taking = F.transform(F.split(_plain(F.col("text")), "\n"), lambda x, i: F.when(words(x) >= min_words, i))
+    return F.filter(taking, lambda i: i.isNotNull())
+
+
 def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4) -> DataFrame:
-    """(doc_id, line): the lines, counted from 0, that an earlier line of `docs` is similar to.
+    """(doc, sub, line): the lines, counted from 0, that an earlier line is similar to; `docs` as identified() gives them.
 
-    Lines of fewer than `min_words` distinct words are never removed and remove nothing. Null texts have no lines; null
-    doc_ids come last in the order. A set is known by a 64-bit hash of its words, so among n different lines two are
+    Rows that are equal count once. Lines of fewer than `min_words` distinct words are never removed and remove nothing.
+    Null texts have no lines; null doc_ids come last in the order. A set is known by a 64-bit hash of its words, so among n different lines two are
     taken for one with a chance of n * n / 3.7e19.
     """
     levels, per = rarity(docs), round(similarity * 1000)
     # Every line, once: its set's hash, size, prefix and bitmap. Lines below min_words are filtered after the write, as
     # a filter before it would make the tokens twice.
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode_outer(F.split(_plain(F.col("text")), "\n")).alias("line", "raw"))
-    rows = rows.select("doc", "line", _tokens(F.col("raw"), levels).alias("tokens"))
+    docs = docs.filter("_copy = 0")
+    rows = docs.select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), F.posexplode_outer(F.split(_plain(F.col("text")), "\n")).alias("line", "raw"))
+    rows = rows.select("doc", F.shiftleft("sub", _SUB).bitwiseOR(F.col("line")).alias("at"), _tokens(F.col("raw"), levels).alias("tokens"))
     n = F.size("tokens")
     one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
     fold = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x)))
@@ -82,10 +125,10 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4)
     bits = [F.when(n <= _WIDE, fold if w == 0 else F.lit(0).cast("long")).otherwise(word(w)).alias(b) for w, b in enumerate(_BITMAP)]
     # Sets of so few words that one word more is too many are similar to themselves alone: cls settles them.
     prefix = F.when((n >= min_words) & (n * 1000 >= (n + 1) * per), F.slice("tokens", F.lit(1), n - _tail(n, similarity)))
-    wide = materialize(rows.select("doc", "line", F.xxhash64("tokens").alias("cls"), n.alias("n"), prefix.alias("prefix"), *bits), "lines-wide")
-    place = (F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("line")).cast("decimal(38,0)")
+    wide = materialize(rows.select("doc", "at", F.xxhash64("tokens").alias("cls"), n.alias("n"), prefix.alias("prefix"), *bits), "lines-wide")
+    place = (F.col("doc").cast("decimal(38,0)") * F.lit(1 << 62) + F.col("at")).cast("decimal(38,0)")
     classes = materialize(wide.filter(F.col("n") >= min_words).groupBy("cls").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "prefix", *_BITMAP)]), "line-classes")
-    lines = materialize(wide.filter(F.col("n") >= min_words).select("doc", "line", "cls"), "lines")
+    lines = materialize(wide.filter(F.col("n") >= min_words).select("doc", "at", "cls"), "lines")
     drop(wide)
 
     def close(a: str, b: str) -> Column:
@@ -121,8 +164,8 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4)
     later = materialize(settled.union(_verified(docs, classes, pairs, levels, similarity).select("a")).distinct(), "line-later")
     # A class with a similar earlier one goes wholly; of any other its first line stays.
     fate = classes.select("cls", "first").join(broadcast_if_small(later.withColumn("later", F.lit(True)), later.count(), _BROADCAST_ROWS), "cls", "left").select("cls", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    gone = lines.select("doc", "line", "cls", place.alias("place")).join(fate, "cls").filter("later or place > first")
-    return gone.select(F.when(F.col("doc") < _LAST, F.col("doc")).alias("doc_id"), "line")
+    gone = lines.select("doc", "at", "cls", place.alias("place")).join(fate, "cls").filter("later or place > first")
+    return gone.select("doc", F.shiftright("at", _SUB).alias("sub"), F.col("at").bitwiseAND(_LINE).cast("int").alias("line"))
 
 
 def _ordered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -140,14 +183,15 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Col
     pairs = materialize(pairs, "line-pairs")
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b"))).distinct()
     where = classes.select("cls", "first").join(broadcast_if_small(asked, 2 * pairs.count(), _BROADCAST_ROWS), "cls")
-    spot = F.struct(F.expr(_PLACE_LINE).cast("int").alias("line"), "cls")
-    wanted = materialize(where.groupBy(F.expr(_PLACE_DOC).alias("doc")).agg(F.collect_list(spot).alias("at")), "line-places")
+    at = F.expr(_PLACE_AT)
+    spot = F.struct(at.bitwiseAND(_LINE).cast("int").alias("line"), "cls")
+    wanted = materialize(where.groupBy(F.expr(_PLACE_DOC).alias("doc"), F.shiftright(at, _SUB).alias("sub")).agg(F.collect_list(spot).alias("at")), "line-places")
     rows = wanted.select(F.sum(F.size("at"))).first()[0] or 0
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    found = own.join(broadcast_if_small(wanted, rows, _BROADCAST_ROWS), "doc").select("at", F.split(_plain(F.col("text")), "\n").alias("lines"))
+    own = docs.select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), "text")
+    found = own.join(broadcast_if_small(wanted, rows, _BROADCAST_ROWS), ["doc", "sub"]).select("at", F.split(_plain(F.col("text")), "\n").alias("lines"))
     found = found.select(F.explode(F.transform("at", lambda x: F.struct(x["cls"].alias("cls"), F.get("lines", x["line"]).alias("raw")))).alias("x")).select("x.cls", "x.raw")
     words = found.select("cls", F.array_remove(F.array_distinct(F.split("raw", " ")), "").alias("words"), F.xxhash64(_tokens(F.col("raw"), levels)).alias("own"))
-    words = materialize(words, "line-words").filter("own = cls").drop("own").dropDuplicates(["cls"])  # rows with a repeated doc_id can differ
+    words = materialize(words, "line-words").filter("own = cls").drop("own").dropDuplicates(["cls"])
     both = pairs.join(words.select(F.col("cls").alias("a"), F.col("words").alias("aw")), "a").join(words.select(F.col("cls").alias("b"), F.col("words").alias("bw")), "b")
     common = F.size(F.array_intersect("aw", "bw"))
     return both.filter(common * 1000 >= (F.size("aw") + F.size("bw") - common) * round(similarity * 1000)).select("a", "b")
@@ -156,14 +200,13 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Col
 def line_report(docs: DataFrame, similarity: float = 0.8, min_words: int = 4) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed array<int>) for each row of `docs`; a null text has no lines.
 
-    Rows that repeat a doc_id share one list of removed lines. An empty table gives an empty result.
+    Each row has its own list, rows with a repeated or null doc_id too. An empty table gives an empty result.
     """
-    gone = removed_lines(docs, similarity, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    joined = own.alias("o").join(gone.alias("g"), F.col("o.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return joined.select("o.doc_id", F.col("n_lines").cast("long"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    docs = identified(docs.select("doc_id", "text"))
+    gone = removed_lines(docs, similarity, min_words).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    own = docs.select("_doc", "_sub", F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0)).alias("n_lines"), F.when(F.col("_copy") > 0, _wordy(min_words)).alias("all"))
+    removed = F.coalesce("all", "removed", F.array().cast("array<int>"))
+    return own.join(gone, ["_doc", "_sub"], "left").select("doc_id", F.col("n_lines").cast("long"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4) -> DataFrame:
@@ -171,9 +214,10 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4) ->
 
     Documents of which no line stays are dropped; null texts stay. All columns of `docs` are returned.
     """
-    gone = materialize(removed_lines(docs, similarity, min_words).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone")), "lines-gone")
+    own = identified(docs)
+    gone = materialize(removed_lines(own, similarity, min_words).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_set("line").alias("_gone")), "lines-gone")
     rows = gone.select(F.sum(F.size("_gone"))).first()[0] or 0
-    joined = docs.join(broadcast_if_small(gone, rows, _BROADCAST_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left")
+    joined = own.join(broadcast_if_small(gone, rows, _BROADCAST_ROWS), ["_doc", "_sub"], "left").withColumn("_gone", F.when(F.col("_copy") > 0, _wordy(min_words)).otherwise(F.col("_gone")))
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i))
     out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), kept))
     out = out.filter("_kept is null or size(_kept) > 0").withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))

@@ -80,3 +80,13 @@ def test_lines_of_few_words(spark, tmp_path):
     assert {(r.doc_id, i) for r in found for i in r.removed} == want
     left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()}
     assert left[31] == "\n".join(line for i, line in enumerate(rows[-3][1].split("\n")) if (31, i) not in want)
+
+
+def test_rows_that_share_a_doc_id(spark):
+    a, b = "one two three four\nonly in the first row", "one two three four\nmet in no other row"
+    rows = [(None, a), (None, b), (None, "its very own first line"), (7, "seven has a line here"), (7, "seven has another one there"), (7, "one two three four"), (9, "\ntwice the same row here"), (9, "\ntwice the same row here"), (None, None), (None, None), (-3, "seven has a line here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.n_lines, tuple(r.removed)) for r in line_report(docs).collect())
+    assert found == sorted([(0, 2, (0,)), (0, 2, (0,)), (0, 1, ()), (7, 1, (0,)), (7, 1, ()), (7, 1, ()), (9, 2, ()), (9, 2, (1,)), (0, 0, ()), (0, 0, ()), (-3, 1, ())])
+    left = sorted((r.doc_id or 0, r.text or "") for r in dedup_lines(docs).collect())
+    assert left == sorted([(0, "only in the first row"), (0, "met in no other row"), (0, "its very own first line"), (7, "seven has another one there"), (7, "one two three four"), (9, rows[6][1]), (9, ""), (0, ""), (0, ""), (-3, "seven has a line here")])
