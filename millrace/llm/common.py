@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: computed once, lineage cut, safe against lost executors.
 
-    The write's own shuffle files are deleted at its end, and those of earlier steps once nothing refers to them.
+    The write's own shuffle files are deleted at its end.
     """
     spark = df.sparkSession
     path, before = fresh_path(spark, name), spark.conf.get(_CLEANUP, None)
@@ -40,16 +40,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() gave and nothing reads any more."""
-    files = df.inputFiles()
-    if files:
-        drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialize() gave and nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def packed(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` as its columns `own` and _rest, a struct of all others, so that none can clash with names added later, and
+    what gives the columns of `docs` back."""
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    kept, others = [c for c in docs.columns if c in own], [c for c in docs.columns if c not in own]
+    rest = F.struct(*map(quoted, others)) if others else F.lit(None).cast("string")
+    back = lambda df: df.select(*[F.col(c) if c in kept else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+    return docs.select(*kept, rest.alias("_rest")), back
 
 
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:

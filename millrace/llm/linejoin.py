@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its lower-cased words. Words are ordered by rarity over the whole corpus; two sets of Jaccard
-similarity t or more then share a word within their prefixes. Prefix, positional and length filters and a set's
-bitmap leave few pairs, whose words are fetched and compared. A line goes if an earlier line (by doc_id, then line
+similarity t or more then share a word within their prefixes. Prefix, positional and length filters and a bitmap of
+each set leave few pairs, whose words are fetched and compared. A line goes if an earlier line (by doc_id, then line
 number) is similar to it, whether or not that earlier line stays. Rows of one doc_id, or of none, come by their texts'
 hashes; of equal rows one comes before the others.
 """
@@ -14,46 +14,57 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import broadcast_if_small, drop, materialize
+from millrace.llm.common import broadcast_if_small, drop, materialize, packed
 
 #: Buckets of the rarity table: its size is fixed, whatever the corpus.
 _BUCKETS = 1 << 16
 #: Rows of a few longs that may be broadcast; more are joined by shuffles.
 _BROADCAST_ROWS = 1_000_000
 _LAST = (1 << 63) - 1
-#: Words from which a set's bitmap has 256 bits, not 64; and parts of the word space that round 2 takes one by one, so
-#: that only one part's prefixes lie in shuffle files at a time.
-_WIDE, _PASSES = 48, 4
-_BITMAP = ("b0", "b1", "b2", "b3")
-#: The place of a line among all, doc_id * 2 ** 62 + at, taken apart again; / would round, and % follow the sign. `at` is
-#: sub * 2 ** 31 + line, sub numbering the texts of a doc_id.
-_PLACE_AT = "cast(pmod(first, cast(4611686018427387904 as decimal(38,0))) as long)"
-_PLACE_DOC = f"(first - {_PLACE_AT}) div cast(4611686018427387904 as decimal(38,0))"
+#: Words beyond which a set's bitmap has 128 bits, not 64.
+_WIDE = 90
+#: Parts of the word space that are joined one by one, so that only one part's prefixes lie in shuffle files at a time.
+_PASSES = 2
+#: Sets that share a word of their prefixes, from which on round 1 takes the word, and how many of them lead there.
+_HOT, _LEADS = 256, 16
+#: `at` numbers the lines of a doc_id: sub * 2 ** 31 + line, sub numbering the texts of the doc_id.
 _SUB, _LINE = 31, (1 << 31) - 1
 
 
-
 def _plain(text: Column) -> Column:
     """Lower-cased text in which all white space but line feeds is a space."""
-    low = F.lower(text)
-    odd = reduce(lambda a, b: a | b, [F.contains(low, F.lit(c)) for c in "\t\x0b\x0c\r"])
-    return F.when(odd, F.regexp_replace(low, r"[\t\x0B\f\r]", " ")).otherwise(low)
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"])
+    return F.lower(F.when(odd, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text))
 
 
 def rarity(docs: DataFrame) -> Column:
     """A literal array: for each hash bucket of words, its order of frequency over all of `docs` (0: rarest)."""
-    word = docs.select(F.explode_outer(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    text = docs.select(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")).alias("t"))
+    word = text.select(F.explode(F.split("t", " ")).alias("w"))
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(_BUCKETS - 1).alias("b")).count()
-    level = {r.b: min(127, r["count"].bit_length() * 2 + (r["count"] >> max(0, r["count"].bit_length() - 2) & 1)) for r in counts.collect()}  # one row a bucket
+    level = {}
+    for r in counts.collect():  # one row a bucket
+        bits = r["count"].bit_length()
+        level[r.b] = min(127, 2 * bits + (r["count"] >> max(0, bits - 2) & 1))
     return F.split(F.lit(",".join(str(level.get(b, 0)) for b in range(_BUCKETS))), ",").cast("array<bigint>")
 
 
 def _tokens(line: Column, levels: Column) -> Column:
-    """A plain line's distinct words as numbers, rarest first: 7 bits of the frequency of the word's bucket, 5 bits that
-    put longer words, which are rarer within a bucket, before shorter ones, and 51 bits of hash."""
-    number = lambda w: F.shiftleft(31 - F.least(F.length(w), F.lit(31)).cast("long"), 51).bitwiseOR(F.xxhash64(w).bitwiseAND((1 << 51) - 1))
-    distinct = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), number)), number(F.lit("")))
-    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(_BUCKETS - 1)), 56).bitwiseOR(h)))
+    """A plain line's distinct words as numbers, rarest first: 7 bits of the frequency of the word's bucket, 56 of hash."""
+    distinct = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    # never null, and said so: sorting is then by plain numbers
+    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(_BUCKETS - 1).cast("int")), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
+
+
+def _bitmaps(tokens: str, n: Column) -> list[Column]:
+    """b0, b1: a bit for each hash, set if an odd number of words have it: 64 bits in b0, or 64 in each, of which b0 ^ b1
+    is the former. No more bits differ between two sets than words."""
+    none = F.lit(0).cast("long")
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    fold = lambda a: F.aggregate(a, none, lambda acc, x: acc.bitwiseXOR(one(x)))
+    half = lambda k: fold(F.filter(tokens, lambda x: x.bitwiseAND(64) == F.lit(64 * k)))
+    return [F.when(n > _WIDE, half(0)).otherwise(fold(tokens)).alias("b0"), F.when(n > _WIDE, half(1)).otherwise(none).alias("b1")]
 
 
 def _need(n: Column, m: Column, t: float) -> Column:
@@ -62,9 +73,20 @@ def _need(n: Column, m: Column, t: float) -> Column:
     return F.ceil((n + m) * F.lit(s) / F.lit(1000 + s) - 1e-9)
 
 
-def _tail(n: Column, t: float) -> Column:
-    """How many words of a set of n lie beyond its prefix."""
-    return F.ceil(n * F.lit(round(t * 1000)) / 1000 - 1e-9).cast("int") - 1
+def _room(n: Column, t: float) -> tuple[Column, Column]:
+    """How many words a set of n must share with any similar one, and with one that isn't smaller."""
+    s = round(t * 1000)
+    return F.ceil(n * F.lit(s) / 1000 - 1e-9).cast("int"), F.ceil(n * F.lit(2 * s) / F.lit(1000 + s) - 1e-9).cast("int")
+
+
+def _close(t: float, a: str, b: str) -> Column:
+    """What the sizes and bitmaps of two sets, a the smaller one, allow."""
+    c = lambda side, name: F.col(f"{side}{name}")
+    na, nb = c(a, "n"), c(b, "n")
+    both = [F.bit_count(c(a, x).bitwiseXOR(c(b, x))) for x in ("b0", "b1")]
+    folded = F.bit_count(reduce(lambda x, y: x.bitwiseXOR(y), [c(side, x) for side in (a, b) for x in ("b0", "b1")]))
+    apart = F.when((na > _WIDE) & (nb > _WIDE), both[0] + both[1]).otherwise(folded)
+    return (na * 1000 >= nb * round(t * 1000)) & (apart <= na + nb - 2 * _need(na, nb, t))
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -98,129 +120,132 @@ def identified(docs: DataFrame) -> DataFrame:
     return once.union(again).drop("_hash", "_rows")
 
 
-def _wordy(min_words: int) -> Column:
-    """The numbers of the lines that take part; all of them go from a row that an equal one comes before."""
+def _wordy() -> Column:
+    """The numbers of the lines with a word; all of them go from a row that an equal one comes before."""
     words = lambda x: F.size(F.array_remove(F.array_distinct(F.split(x, " ")), ""))
-    taking = F.transform(F.split(_plain(F.col("text")), "\n"), lambda x, i: F.when(words(x) >= min_words, i))
+    taking = F.transform(F.split(_plain(F.col("text")), "\n"), lambda x, i: F.when(words(x) > 0, i))
     return F.filter(taking, lambda i: i.isNotNull())
 
 
-def removed_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4) -> DataFrame:
+def removed_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc, sub, line): the lines, counted from 0, that an earlier line is similar to; `docs` as identified() gives them.
 
-    Rows that are equal count once. Lines of fewer than `min_words` distinct words are never removed and remove nothing.
-    Null texts have no lines; null doc_ids come last in the order. A set is known by a 64-bit hash of its words, so among n different lines two are
+    Rows that are equal count once. Lines without a word are never removed and remove nothing. Null texts have no lines;
+    null doc_ids come last in the order. A set is known by a 64-bit hash of its words, so among n different lines two are
     taken for one with a chance of n * n / 3.7e19.
     """
-    levels, per = rarity(docs), round(similarity * 1000)
-    # Every line, once: its set's hash, size, prefix and bitmap. Lines below min_words are filtered after the write, as
-    # a filter before it would make the tokens twice.
+    # Every line, once: its set's hash, size, prefix and bitmap. Lines without words are filtered after the write, as a
+    # filter before it would make the tokens twice.
     docs = docs.filter("_copy = 0")
-    rows = docs.select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), F.posexplode_outer(F.split(_plain(F.col("text")), "\n")).alias("line", "raw"))
+    levels = rarity(docs)
+    rows = docs.select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "raw"))
     rows = rows.select("doc", F.shiftleft("sub", _SUB).bitwiseOR(F.col("line")).alias("at"), _tokens(F.col("raw"), levels).alias("tokens"))
     n = F.size("tokens")
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    fold = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x)))
-    word = lambda w: F.aggregate(F.filter("tokens", lambda x: F.shiftright(x, 6).bitwiseAND(3) == w), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x)))
-    bits = [F.when(n <= _WIDE, fold if w == 0 else F.lit(0).cast("long")).otherwise(word(w)).alias(b) for w, b in enumerate(_BITMAP)]
     # Sets of so few words that one word more is too many are similar to themselves alone: cls settles them.
-    prefix = F.when((n >= min_words) & (n * 1000 >= (n + 1) * per), F.slice("tokens", F.lit(1), n - _tail(n, similarity)))
-    wide = materialize(rows.select("doc", "at", F.xxhash64("tokens").alias("cls"), n.alias("n"), prefix.alias("prefix"), *bits), "lines-wide")
-    place = (F.col("doc").cast("decimal(38,0)") * F.lit(1 << 62) + F.col("at")).cast("decimal(38,0)")
-    classes = materialize(wide.filter(F.col("n") >= min_words).groupBy("cls").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "prefix", *_BITMAP)]), "line-classes")
-    lines = materialize(wide.filter(F.col("n") >= min_words).select("doc", "at", "cls"), "lines")
+    prefix = F.when(n * 1000 >= (n + 1) * round(similarity * 1000), F.slice("tokens", F.lit(1), n - _room(n, similarity)[0] + 1))
+    wide = materialize(rows.select("doc", "at", F.xxhash64("tokens").alias("cls"), n.alias("n"), prefix.alias("prefix"), *_bitmaps("tokens", n)), "lines-wide").filter("n > 0")
+    same = ("n", "prefix", "b0", "b1")
+    classes = wide.groupBy("cls").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in same])
+    classes = materialize(classes.select("cls", "first.doc", "first.at", "lines", *same), "line-classes")
+    lines = materialize(wide.select("doc", "at", "cls"), "lines")
     drop(wide)
 
-    def close(a: str, b: str) -> Column:
-        """What the sizes and bitmaps of two sets allow."""
-        na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-        folded = lambda side: reduce(lambda x, y: x.bitwiseOR(y), [F.col(side + c) for c in _BITMAP])
-        apart = F.when((na > _WIDE) & (nb > _WIDE), sum(F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in _BITMAP)).otherwise(F.bit_count(folded(a).bitwiseXOR(folded(b))))
-        return (na * 1000 >= nb * per) & (nb * 1000 >= na * per) & (apart <= na + nb - 2 * _need(na, nb, similarity))
-
-    # Round 1: each set against the earliest that shares one of its four rarest words. Settles the many variants of a
-    # passage with a few comparisons each.
-    heads = classes.select("cls", "first", "n", *_BITMAP, F.explode(F.slice("prefix", 1, 4)).alias("token"))
-    lead = heads.groupBy("token").agg(F.min("first").alias("lead"), F.count("*").alias("members")).filter("members > 1").select("token", "lead")
-    asked = heads.join(lead, "token").filter("lead < first").select("cls", "n", *_BITMAP, "lead")
-    of = classes.select(F.col("first").alias("lead"), F.col("cls").alias("b_cls"), F.col("n").alias("b_n"), *[F.col(c).alias(f"b_{c}") for c in _BITMAP])
-    pairs = asked.join(of, "lead").filter(close("", "b_")).select(F.col("cls").alias("a"), F.col("b_cls").alias("b")).distinct()
-    settled = materialize(_verified(docs, classes, pairs, levels, similarity).select(F.col("a").alias("cls")).distinct(), "line-settled")
-    n_settled = settled.count()
-    # Round 2: every set that is still open against all earlier ones; sets of one document may be in either order. The
-    # first word that two similar sets share has so many words after it in both as the sets must have in common.
-    flagged = classes.join(broadcast_if_small(settled.withColumn("settled", F.lit(True)), n_settled, _BROADCAST_ROWS), "cls", "left")
-    columns = ("cls", "n", *_BITMAP, "open", "pos", "doc")
-    doc = F.expr(_PLACE_DOC).alias("doc")
+    first = F.slice("prefix", F.lit(1), F.col("n") - _room(F.col("n"), similarity)[1] + 1)
+    posts = classes.select("cls", "doc", "at", "n", "b0", "b1", F.explode(first).alias("token"))
+    hot = materialize(posts.groupBy("token").count().filter(F.col("count") >= _HOT).select("token"), "line-words")
+    settled, n_hot = None, hot.count()
+    if n_hot:
+        # Round 1: the many variants of a passage share words. Of each word's sets the earliest of each of _LEADS parts
+        # leads; every set is compared with the leads before it, which settles most variants by a few comparisons.
+        members = posts.join(broadcast_if_small(hot, n_hot, _BROADCAST_ROWS), "token")
+        lead = F.min(F.struct("doc", "at", "cls", "n", "b0", "b1")).alias("lead")
+        leads = materialize(members.groupBy("token", F.pmod("cls", F.lit(_LEADS)).alias("part")).agg(lead), "line-leads")
+        side = broadcast_if_small(leads.select("token", *[F.col(f"lead.{c}").alias(f"l_{c}") for c in ("doc", "at", "cls", "n", "b0", "b1")]), leads.count(), _BROADCAST_ROWS // 8)
+        before = (F.col("l_doc") < F.col("doc")) | ((F.col("l_doc") == F.col("doc")) & (F.col("l_at") < F.col("at")))
+        smaller = F.col("n") <= F.col("l_n")
+        near = (smaller & _close(similarity, "", "l_")) | (~smaller & _close(similarity, "l_", ""))
+        met = members.join(side, "token").filter(before & near).select(F.col("cls").alias("a"), F.col("l_cls").alias("b")).distinct()
+        settled = materialize(_verified(docs, classes, met, levels, similarity).select(F.col("a").alias("cls")).distinct(), "line-settled")
+    # Round 2: every set that is still open against all earlier ones. The smaller one of a pair has the shorter prefix.
+    # The first word that two similar sets share has so many words after it in both as the sets must have in common.
+    flagged = classes.withColumn("open", F.lit(True))
+    if settled is not None:
+        side = broadcast_if_small(settled.withColumn("settled", F.lit(True)), settled.count(), _BROADCAST_ROWS)
+        flagged = classes.join(side, "cls", "left").withColumn("open", F.col("settled").isNull())
+    columns = ("cls", "doc", "at", "size", "pos", "b0", "b1")
     found = []
     for i in range(_PASSES):
-        posts = flagged.select("cls", "n", *_BITMAP, F.col("settled").isNull().alias("open"), doc, F.posexplode("prefix").alias("pos", "token")).filter(F.pmod("token", F.lit(_PASSES)) == i)
-        x, y = (posts.select("token", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
-        room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= _need(F.col("a_n"), F.col("b_n"), similarity)
-        later = (F.col("a_open") & (F.col("a_doc") >= F.col("b_doc"))) | (F.col("b_open") & (F.col("b_doc") >= F.col("a_doc")))
-        met = x.join(y, (x.token == y.token) & (F.col("a_cls") < F.col("b_cls")) & later & room & close("a_", "b_"))
-        found.append(materialize(met.select("a_cls", "b_cls").distinct(), "line-candidates"))
-    pairs = _ordered(materialize(reduce(DataFrame.union, found).distinct(), "line-candidates"), classes)
-    later = materialize(settled.union(_verified(docs, classes, pairs, levels, similarity).select("a")).distinct(), "line-later")
+        size = F.when(F.col("open"), F.col("n")).otherwise(-F.col("n")).alias("size")
+        each = flagged.select("cls", "doc", "at", size, "b0", "b1", F.posexplode("prefix").alias("pos", "token")).filter(F.pmod("token", F.lit(_PASSES)) == i)
+        x, y = (each.select("token", *[F.col(c).alias(f"{side}{c}") for c in columns]).withColumn(f"{side}n", F.abs(f"{side}size")) for side in ("x_", "y_"))
+        short = F.col("x_pos") <= F.col("x_n") - _room(F.col("x_n"), similarity)[1]
+        once = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cls") < F.col("y_cls")))
+        room = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= _need(F.col("x_n"), F.col("y_n"), similarity)
+        late = (F.col("x_doc") > F.col("y_doc")) | ((F.col("x_doc") == F.col("y_doc")) & (F.col("x_at") > F.col("y_at")))
+        asks = F.when(late, F.col("x_size") > 0).otherwise(F.col("y_size") > 0)
+        met = x.join(y, (x.token == y.token) & once & short & _close(similarity, "x_", "y_") & room & asks)
+        pair = met.select(F.when(late, F.col("x_cls")).otherwise(F.col("y_cls")).alias("a"), F.when(late, F.col("y_cls")).otherwise(F.col("x_cls")).alias("b"))
+        found.append(materialize(pair.distinct(), "line-candidates"))
+    later = _verified(docs, classes, reduce(DataFrame.union, found).distinct(), levels, similarity).select(F.col("a").alias("cls"))
+    later = materialize((later if settled is None else later.union(settled)).distinct(), "line-later")
     # A class with a similar earlier one goes wholly; of any other its first line stays.
-    fate = classes.select("cls", "first").join(broadcast_if_small(later.withColumn("later", F.lit(True)), later.count(), _BROADCAST_ROWS), "cls", "left").select("cls", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    gone = lines.select("doc", "at", "cls", place.alias("place")).join(fate, "cls").filter("later or place > first")
+    side = broadcast_if_small(later.withColumn("later", F.lit(True)), later.count(), _BROADCAST_ROWS)
+    fate = classes.select("cls", F.struct("doc", "at").alias("first"), "lines").join(side, "cls", "left").filter("later or lines > 1").select("cls", "first", F.coalesce("later", F.lit(False)).alias("later"))
+    fate = materialize(fate, "line-fate")
+    gone = lines.join(broadcast_if_small(fate, fate.count(), _BROADCAST_ROWS), "cls").filter(F.col("later") | (F.struct("doc", "at") > F.col("first")))
     return gone.select("doc", F.shiftright("at", _SUB).alias("sub"), F.col("at").bitwiseAND(_LINE).cast("int").alias("line"))
 
 
-def _ordered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) with b the class whose first line comes earlier."""
-    at, rows = classes.select("cls", "first"), pairs.count()
-    first = at.join(broadcast_if_small(pairs, rows, _BROADCAST_ROWS), F.col("cls") == F.col("a_cls")).select("a_cls", "b_cls", F.col("first").alias("fa"))
-    first = materialize(first, "line-ordered")
-    both = at.join(broadcast_if_small(first, rows, _BROADCAST_ROWS), F.col("cls") == F.col("b_cls")).select("a_cls", "b_cls", "fa", F.col("first").alias("fb"))
-    late = F.col("fa") > F.col("fb")
-    return both.select(F.when(late, F.col("a_cls")).otherwise(F.col("b_cls")).alias("a"), F.when(late, F.col("b_cls")).otherwise(F.col("a_cls")).alias("b"))
-
-
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Column, similarity: float) -> DataFrame:
     """The pairs of classes whose words, fetched from the first line of each, are similar."""
     pairs = materialize(pairs, "line-pairs")
+    n_pairs = pairs.count()
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b"))).distinct()
-    where = classes.select("cls", "first").join(broadcast_if_small(asked, 2 * pairs.count(), _BROADCAST_ROWS), "cls")
-    at = F.expr(_PLACE_AT)
-    spot = F.struct(at.bitwiseAND(_LINE).cast("int").alias("line"), "cls")
-    wanted = materialize(where.groupBy(F.expr(_PLACE_DOC).alias("doc"), F.shiftright(at, _SUB).alias("sub")).agg(F.collect_list(spot).alias("at")), "line-places")
+    where = classes.select("cls", "doc", "at").join(broadcast_if_small(asked, 2 * n_pairs, _BROADCAST_ROWS), "cls")
+    spot = F.struct(F.col("at").bitwiseAND(_LINE).cast("int").alias("line"), "cls")
+    wanted = materialize(where.groupBy("doc", F.shiftright("at", _SUB).alias("sub")).agg(F.collect_list(spot).alias("at")), "line-places")
     rows = wanted.select(F.sum(F.size("at"))).first()[0] or 0
     own = docs.select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), "text")
     found = own.join(broadcast_if_small(wanted, rows, _BROADCAST_ROWS), ["doc", "sub"]).select("at", F.split(_plain(F.col("text")), "\n").alias("lines"))
     found = found.select(F.explode(F.transform("at", lambda x: F.struct(x["cls"].alias("cls"), F.get("lines", x["line"]).alias("raw")))).alias("x")).select("x.cls", "x.raw")
-    words = found.select("cls", F.array_remove(F.array_distinct(F.split("raw", " ")), "").alias("words"), F.xxhash64(_tokens(F.col("raw"), levels)).alias("own"))
-    words = materialize(words, "line-words").filter("own = cls").drop("own").dropDuplicates(["cls"])
+    words = materialize(found.select("cls", F.array_remove(F.array_distinct(F.split("raw", " ")), "").alias("words")), "line-words")
     both = pairs.join(words.select(F.col("cls").alias("a"), F.col("words").alias("aw")), "a").join(words.select(F.col("cls").alias("b"), F.col("words").alias("bw")), "b")
-    common = F.size(F.array_intersect("aw", "bw"))
-    return both.filter(common * 1000 >= (F.size("aw") + F.size("bw") - common) * round(similarity * 1000)).select("a", "b")
+    return both.filter(F.size(F.array_intersect("aw", "bw")) >= _need(F.size("aw"), F.size("bw"), similarity)).select("a", "b")
 
 
-def line_report(docs: DataFrame, similarity: float = 0.8, min_words: int = 4) -> DataFrame:
+def line_report(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed array<int>) for each row of `docs`; a null text has no lines.
 
-    Each row has its own list, rows with a repeated or null doc_id too. An empty table gives an empty result.
+    Each row has its own list, rows with a repeated or null doc_id too. doc_id counts as a long. An empty table gives an
+    empty result. Texts and lines of any length are taken whole. Other columns are not read.
     """
     docs = identified(docs.select("doc_id", "text"))
-    gone = removed_lines(docs, similarity, min_words).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    own = docs.select("_doc", "_sub", F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0)).alias("n_lines"), F.when(F.col("_copy") > 0, _wordy(min_words)).alias("all"))
+    gone = removed_lines(docs, similarity).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = materialize(gone, "lines-gone")
+    rows = gone.select(F.sum(F.size("removed"))).first()[0] or 0
+    n_lines = F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0))
+    own = docs.select("_doc", "_sub", F.col("doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.when(F.col("_copy") > 0, _wordy()).alias("all"))
     removed = F.coalesce("all", "removed", F.array().cast("array<int>"))
-    return own.join(gone, ["_doc", "_sub"], "left").select("doc_id", F.col("n_lines").cast("long"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    joined = own.join(broadcast_if_small(gone, rows, _BROADCAST_ROWS), ["_doc", "_sub"], "left")
+    return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """`docs` with the removed lines taken out of text, and n_chars, if there, counted anew.
 
-    Documents of which no line stays are dropped; null texts stay. All columns of `docs` are returned.
+    Documents of which no line stays are dropped; null texts stay. All columns of `docs` are returned, whatever their
+    names. Rows, texts and doc_ids are met as in line_report().
     """
-    own = identified(docs)
-    gone = materialize(removed_lines(own, similarity, min_words).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_set("line").alias("_gone")), "lines-gone")
+    named, back = packed(docs, "doc_id", "text", "n_chars")
+    own = identified(named)
+    gone = removed_lines(own, similarity).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_set("line").alias("_gone"))
+    gone = materialize(gone, "lines-gone")
     rows = gone.select(F.sum(F.size("_gone"))).first()[0] or 0
-    joined = own.join(broadcast_if_small(gone, rows, _BROADCAST_ROWS), ["_doc", "_sub"], "left").withColumn("_gone", F.when(F.col("_copy") > 0, _wordy(min_words)).otherwise(F.col("_gone")))
+    out = own.join(broadcast_if_small(gone, rows, _BROADCAST_ROWS), ["_doc", "_sub"], "left")
+    out = out.withColumn("_gone", F.when(F.col("_copy") > 0, _wordy()).otherwise(F.col("_gone")))
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i))
-    out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), kept))
+    out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), kept))
     out = out.filter("_kept is null or size(_kept) > 0").withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    if "n_chars" in named.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(named.schema["n_chars"].dataType)))
+    return back(out)
