@@ -39,7 +39,7 @@ def _plain(text: Column) -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """A literal array: for each hash bucket of words, its order of frequency over all of `docs` (0: rarest)."""
-    text = docs.select(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")).alias("t"))
+    text = docs.select(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")).alias("t"))  # rarer white space matters little here
     word = text.select(F.explode(F.split("t", " ")).alias("w"))
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(_BUCKETS - 1).alias("b")).count()
     level = {}
@@ -128,7 +128,8 @@ def _wordy() -> Column:
 
 
 def removed_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(doc, sub, line): the lines, counted from 0, that an earlier line is similar to; `docs` as identified() gives them.
+    """(_doc, _sub, removed): the lines, counted from 0, that an earlier line is similar to; `docs` as identified() gives
+    them. Texts of which no line goes don't appear.
 
     Rows that are equal count once. Lines without a word are never removed and remove nothing. Null texts have no lines;
     null doc_ids come last in the order. A set is known by a 64-bit hash of its words, so among n different lines two are
@@ -171,29 +172,36 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     flagged = classes.withColumn("open", F.lit(True))
     if settled is not None:
         side = broadcast_if_small(settled.withColumn("settled", F.lit(True)), settled.count(), _BROADCAST_ROWS)
-        flagged = classes.join(side, "cls", "left").withColumn("open", F.col("settled").isNull())
-    columns = ("cls", "doc", "at", "size", "pos", "b0", "b1")
+        flagged = materialize(classes.join(side, "cls", "left").withColumn("open", F.col("settled").isNull()).drop("settled"), "line-open")
+    columns = ("cls", "doc", "at", "n", "pos", "b0", "b1")
     found = []
     for i in range(_PASSES):
-        size = F.when(F.col("open"), F.col("n")).otherwise(-F.col("n")).alias("size")
-        each = flagged.select("cls", "doc", "at", size, "b0", "b1", F.posexplode("prefix").alias("pos", "token")).filter(F.pmod("token", F.lit(_PASSES)) == i)
-        x, y = (each.select("token", *[F.col(c).alias(f"{side}{c}") for c in columns]).withColumn(f"{side}n", F.abs(f"{side}size")) for side in ("x_", "y_"))
-        short = F.col("x_pos") <= F.col("x_n") - _room(F.col("x_n"), similarity)[1]
+        each = flagged.select("cls", "doc", "at", "n", "b0", "b1", "open", F.posexplode("prefix").alias("p", "token")).filter(F.pmod("token", F.lit(_PASSES)) == i)
+        each = each.withColumn("pos", F.when(F.col("open"), F.col("p")).otherwise(-1 - F.col("p")))  # below 0: not open
+        x, y = (each.select("token", *[F.col(c).alias(f"{side}{c}") for c in columns]) for side in ("x_", "y_"))
+        pos = lambda side: F.greatest(F.col(f"{side}pos"), -1 - F.col(f"{side}pos"))
+        short = pos("x_") <= F.col("x_n") - _room(F.col("x_n"), similarity)[1]
         once = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cls") < F.col("y_cls")))
-        room = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= _need(F.col("x_n"), F.col("y_n"), similarity)
+        room = F.least(F.col("x_n") - pos("x_"), F.col("y_n") - pos("y_")) >= _need(F.col("x_n"), F.col("y_n"), similarity)
         late = (F.col("x_doc") > F.col("y_doc")) | ((F.col("x_doc") == F.col("y_doc")) & (F.col("x_at") > F.col("y_at")))
-        asks = F.when(late, F.col("x_size") > 0).otherwise(F.col("y_size") > 0)
+        asks = F.when(late, F.col("x_pos") >= 0).otherwise(F.col("y_pos") >= 0)
         met = x.join(y, (x.token == y.token) & once & short & _close(similarity, "x_", "y_") & room & asks)
         pair = met.select(F.when(late, F.col("x_cls")).otherwise(F.col("y_cls")).alias("a"), F.when(late, F.col("y_cls")).otherwise(F.col("x_cls")).alias("b"))
         found.append(materialize(pair.distinct(), "line-candidates"))
     later = _verified(docs, classes, reduce(DataFrame.union, found).distinct(), levels, similarity).select(F.col("a").alias("cls"))
     later = materialize((later if settled is None else later.union(settled)).distinct(), "line-later")
     # A class with a similar earlier one goes wholly; of any other its first line stays.
+    if settled is not None:
+        drop(flagged)
     side = broadcast_if_small(later.withColumn("later", F.lit(True)), later.count(), _BROADCAST_ROWS)
     fate = classes.select("cls", F.struct("doc", "at").alias("first"), "lines").join(side, "cls", "left").filter("later or lines > 1").select("cls", "first", F.coalesce("later", F.lit(False)).alias("later"))
     fate = materialize(fate, "line-fate")
     gone = lines.join(broadcast_if_small(fate, fate.count(), _BROADCAST_ROWS), "cls").filter(F.col("later") | (F.struct("doc", "at") > F.col("first")))
-    return gone.select("doc", F.shiftright("at", _SUB).alias("sub"), F.col("at").bitwiseAND(_LINE).cast("int").alias("line"))
+    line = F.col("at").bitwiseAND(_LINE).cast("int")
+    gone = gone.groupBy(F.col("doc").alias("_doc"), F.shiftright("at", _SUB).alias("_sub")).agg(F.array_sort(F.collect_set(line)).alias("removed"))
+    gone = materialize(gone, "lines-gone")
+    drop(classes, lines, hot, later, fate, *found)
+    return gone
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Column, similarity: float) -> DataFrame:
@@ -220,8 +228,7 @@ def line_report(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     empty result. Texts and lines of any length are taken whole. Other columns are not read.
     """
     docs = identified(docs.select("doc_id", "text"))
-    gone = removed_lines(docs, similarity).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    gone = materialize(gone, "lines-gone")
+    gone = removed_lines(docs, similarity)
     rows = gone.select(F.sum(F.size("removed"))).first()[0] or 0
     n_lines = F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0))
     own = docs.select("_doc", "_sub", F.col("doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.when(F.col("_copy") > 0, _wordy()).alias("all"))
@@ -238,8 +245,7 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     named, back = packed(docs, "doc_id", "text", "n_chars")
     own = identified(named)
-    gone = removed_lines(own, similarity).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_set("line").alias("_gone"))
-    gone = materialize(gone, "lines-gone")
+    gone = removed_lines(own, similarity).withColumnRenamed("removed", "_gone")
     rows = gone.select(F.sum(F.size("_gone"))).first()[0] or 0
     out = own.join(broadcast_if_small(gone, rows, _BROADCAST_ROWS), ["_doc", "_sub"], "left")
     out = out.withColumn("_gone", F.when(F.col("_copy") > 0, _wordy()).otherwise(F.col("_gone")))
