@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, UPPER, materialize
+from millrace.llm.common import LOWER, UPPER, broadcast_if_small, materialize, packed
 
 #: Distinct benchmark grams or windows that may be broadcast: 16 bytes a gram, about 100 a window.
 BROADCAST_GRAMS, BROADCAST_WINDOWS = 1_000_000, 300_000
@@ -50,10 +50,11 @@ def _every(words: Column, n: int) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 6, broadcast_grams: int = BROADCAST_GRAMS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated) for each distinct (doc_id, text) of `docs`.
+    """(doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated) for each row of `docs`.
 
     A null or empty text has no words and no hits; an item without words has no windows. Repeated item rows count once
-    an item_id. Extra columns are not read. Past the broadcast bounds, the joins shuffle, and words are fetched again
+    an item_id; repeated documents each give a row. doc_id counts as a long. An empty table of documents gives an empty
+    result, one of items no hits. Texts of any length are taken whole. Extra columns are not read. Past the broadcast bounds, the joins shuffle, and words are fetched again
     for documents with hits instead of travelling with every gram.
     """
     item = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).filter("size(w) > 0")
@@ -69,7 +70,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
         df = df.withColumn("g", _grams(F.col("w"), gram))
         return df.withColumn("prints", F.concat(_kept(F.col("g"), window - gram + 1), *[_every(F.col("w"), n) for n in lengths])).drop("g")
 
-    test = prints(long).select(F.explode_outer("prints.fp").alias("fp"))
+    test = long.select(F.explode(_kept(_grams(F.col("w"), gram), window - gram + 1)).alias("x")).select("x.fp")
     for n in lengths:
         test = test.union(short.filter(F.size("w") == n).select(F.xxhash64(F.lit(n), *[F.get("w", F.lit(j)) for j in range(n)])))
     test = materialize(test.union(docs.sparkSession.sql(f"select cast({_EVERY} as bigint)")).distinct(), "grams")
@@ -98,19 +99,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
         lambda a: a["sum"].cast("long"),
     )
     spot = F.when(F.col("s").isNotNull(), F.struct("s", "e"))
-    counted = found.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.collect_set(spot).alias("at")).select("doc_id", "text_hash", "n_words", cover.alias("n_hit"))
+    counted = found.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("s").isNull()).alias("rows"), F.collect_set(spot).alias("at"))
+    counted = counted.select("doc_id", "text_hash", "n_words", "rows", cover.alias("n_hit"))
     named = found.filter("set_id is not null").select("doc_id", "text_hash", "set_id").distinct().join(members, "set_id")
     named = named.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     out = counted.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(
+    out = out.select(
         "doc_id", "text_hash", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "rows",
     )
+    out = materialize(out, "contamination")
+    many = out.filter("rows > 1").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    n_many = many.count()
+    if not n_many:
+        return out.drop("rows")
+    names = own.select("doc_id", "text_hash").join(broadcast_if_small(many, n_many, broadcast_windows), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    return out.filter("rows = 1").drop("rows").union(names.drop("d", "h", "rows"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the contaminated rows, all columns as they were. Rows with null doc_id or text stay if clean."""
-    bad = materialize(contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")), "contaminated")
-    side = F.broadcast(bad) if bad.count() <= BROADCAST_GRAMS else bad
-    return docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_bad_hash")), "left_anti")
+    """`docs` without the rows that hold any window of an item, all columns as they were, whatever their names.
+
+    Rows with null doc_id or text stay if clean. Empty tables, repeated rows and long texts are met as in contamination().
+    """
+    docs, back = packed(docs, "doc_id", "text")
+    bad = contamination(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    bad = materialize(bad, "contaminated")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_bad_hash"))
+    return back(docs.join(broadcast_if_small(bad, bad.count(), BROADCAST_GRAMS), same, "left_anti"))
