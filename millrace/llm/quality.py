@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import broadcast_if_small, materialize, packed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -84,7 +84,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     Every labelled row with crc32(doc_id) mod 5 other than 0 is learnt from, through sums that Spark adds up: no sample.
     Labels with a null doc_id or quality are left out; a doc_id with both labels counts in both classes. Null and empty
     texts are scored from the statistics of the empty text; a null doc_id is not held out. Without any labels all scores
-    are 0.5. Extra columns are not read.
+    are 0.5. Repeated rows each give a row; an empty table gives an empty result. doc_id counts as a long. Texts of any
+    length are taken whole. Extra columns are not read.
     """
     stats = statistics(F.col("t"), F.col("words"), F.col("lines"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -114,7 +115,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_broadcast: int = 1_000_000) -> DataFrame:
-    """`docs` without the rows that the classifier rejects, all columns as they were."""
-    bad = materialize(quality_scores(docs, labels, threshold).filter("predicted = 0").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct(), "rejected")
-    side = F.broadcast(bad) if bad.count() <= most_broadcast else bad
-    return docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_bad_hash")), "left_anti")
+    """`docs` without the rows that the classifier rejects, all columns as they were, whatever their names.
+
+    Nulls, empty tables, repeated rows and long texts are met as in quality_scores(); an empty text is scored, not spared.
+    """
+    docs, back = packed(docs, "doc_id", "text")
+    bad = quality_scores(docs, labels, threshold).filter("predicted = 0").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    bad = materialize(bad, "rejected")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_bad_hash"))
+    return back(docs.join(broadcast_if_small(bad, bad.count(), most_broadcast), same, "left_anti"))

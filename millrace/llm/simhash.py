@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, packed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -126,13 +126,14 @@ def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """`docs` with one row of each component in `found` (doc_id, component_id, text_hash): that of its smallest doc_id,
-    and of that doc_id's smallest text hash.
+    and of that doc_id's smallest text hash; all columns as they were, whatever their names.
 
-    Components in which no row has a doc_id keep all their rows.
+    Components in which no row has a doc_id keep all their rows. An empty table gives an empty result.
     """
-    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("_keep_hash"))
+    docs, back = packed(docs, "doc_id", "text")
+    first = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep_id")).agg(F.min("text_hash").alias("_keep_hash"))
     hashed = docs.withColumn("_row_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_key", F.col("doc_id").cast("long"))
-    kept = hashed.join(first.withColumnRenamed("doc_id", "_keep_id"), (F.col("_key") == F.col("_keep_id")) & (F.col("_row_hash") == F.col("_keep_hash"))).dropDuplicates(["_key"])
-    alone = found.filter("component_id is null").select("text_hash").distinct()
-    loose = hashed.filter("_key is null").join(alone, F.col("_row_hash") == F.col("text_hash"), "left_semi")
-    return kept.select(*docs.columns).union(loose.select(*docs.columns))
+    kept = hashed.join(first, (F.col("_key") == F.col("_keep_id")) & (F.col("_row_hash") == F.col("_keep_hash"))).dropDuplicates(["_key"])
+    alone = found.filter("component_id is null").select(F.col("text_hash").alias("_keep_hash")).distinct()
+    loose = hashed.filter("_key is null").join(alone, F.col("_row_hash") == F.col("_keep_hash"), "left_semi")
+    return back(kept.select(*docs.columns).union(loose.select(*docs.columns)))
