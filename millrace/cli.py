@@ -40,14 +40,13 @@ def run(w: Warehouse, text: str, silent: bool = False, verbose: bool = False, he
             return 0
         try:
             df = w.sql_to_df(s)
-            rows = [render.line(r) for r in w._rows(df)]
+            if header and df.columns != ["result"]:
+                print("\t".join(df.columns), file=out)
+            for r in w.rows(df):  # a partition at a time
+                print(render.line(r), file=out)
         except (QueryExecutionError, OSError) as e:
             print(f"FAILED: {e}", file=err)
             return 1
-        if header and df.columns != ["result"]:
-            print("\t".join(df.columns), file=out)
-        for r in rows:
-            print(r, file=out)
         if not silent:
             print(f"Time taken: {time.time() - began:.3f} seconds", file=err)
     return 0

@@ -170,13 +170,13 @@ _PROPERTIES = re.compile(r"TBLPROPERTIES\s*\((.*?)\)\s*", re.I | re.S)
 _PAIR = re.compile(r"""['"]([^'"]*)['"]\s*=\s*['"]([^'"]*)['"]""")
 
 
-def parse_ctas(sql: str) -> tuple[str, dict[str, str], str, bool] | None:
-    """(table, properties, query, whether IF NOT EXISTS) of a CREATE TABLE AS; None for any other statement."""
+def parse_ctas(sql: str) -> tuple[str, dict[str, str], str, str, bool] | None:
+    """(table, properties, query, other clauses, whether IF NOT EXISTS) of a CREATE TABLE AS; None for any other statement."""
     m = _CTAS.match(sql)
     if not m:
         return None
     own = _PROPERTIES.search(m[3])
-    return m[2], dict(_PAIR.findall(own[1])) if own else {}, sql[m.start(4) :], bool(m[1])
+    return m[2], dict(_PAIR.findall(own[1])) if own else {}, sql[m.start(4) :], _PROPERTIES.sub("", m[3]).strip(), bool(m[1])
 
 
 _INSERT = re.compile(r"\bINSERT\s+(INTO|OVERWRITE)\s+(?:TABLE\s+)?([`\w.]+)", re.I)

@@ -59,6 +59,13 @@ class Warehouse:
         except PySparkException as e:
             raise QueryExecutionError(str(e).splitlines()[0]) from e
 
+    def rows(self, df: DataFrame):
+        """The rows of `df` one by one, of which the driver holds a partition at a time."""
+        try:
+            yield from df.toLocalIterator()
+        except PySparkException as e:
+            raise QueryExecutionError(str(e).splitlines()[0]) from e
+
     def sql_to_df(self, command: str) -> DataFrame:
         """Run one statement; a query is returned unevaluated, anything else has taken effect."""
         text = command.strip().rstrip(";")
@@ -86,8 +93,13 @@ class Warehouse:
             if not m[1].startswith("spark."):
                 return self._empty()
         sql = dialect.translate(text, self.variables)
+        if self.spark.conf.get("spark.sql.catalogImplementation", "in-memory") != "hive":
+            try:
+                sql = dialect.storage(sql)
+            except ValueError as e:
+                raise QueryExecutionError(str(e)) from e
         if ctas := parse_ctas(sql):
-            return self._create(text, *ctas)
+            return self._create(text, sql, *ctas)
         targets = parse_inserts(sql)
         held = [t for t, _ in targets if t in self.cached]
         if held and len(targets) > 1:
@@ -103,26 +115,29 @@ class Warehouse:
             return self._load(m[1], bool(m[2]), m[3], sql)
         return self.spark.sql(sql)
 
-    def _create(self, text: str, table: str, properties: dict[str, str], query: str, keep: bool) -> DataFrame:
+    def _create(self, text: str, sql: str, table: str, properties: dict[str, str], query: str, clauses: str, keep: bool) -> DataFrame:
+        """CREATE TABLE AS: Spark's own with all its clauses; a cached table takes no clauses but its properties."""
         if keep and self.spark.catalog.tableExists(table):
             return self._empty()
         mode = mode_of(table, properties, self.cache_by_name)
         level = property_of(properties, "cache.storageLevel")
-        rows = self.spark.sql(query)
         if mode is CacheMode.NONE:
-            rows.write.format("parquet").saveAsTable(table)
-        else:
-            self.cached.create(table, rows, mode, level, text)
+            self.spark.sql(sql)
+            return self._empty()
+        if clauses and clauses.lower() != "using parquet":
+            raise QueryExecutionError(f"a cached table can't have {clauses}")
+        self.cached.create(table, self.spark.sql(query), mode, level, text)
         return self._empty()
 
     def _load(self, path: str, overwrite: bool, table: str, sql: str) -> DataFrame:
-        """LOAD DATA: Spark's own for SerDe tables; for Parquet tables the text is read by the table's schema."""
+        """LOAD DATA: Spark's own for SerDe tables; for others the text is read by the table's schema and delimiters."""
         from millrace.sources.readers import DELIMITERS, read_text_table
 
         detail = {r.col_name.strip(): r.data_type for r in self.spark.sql(f"DESCRIBE FORMATTED {table}").collect()}
         if detail.get("Provider", "").lower() == "hive":
             return self.spark.sql(sql)
         properties = {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
-        rows = read_text_table(self.spark, path, self.spark.table(table).schema, properties.get("field.delim", DELIMITERS[0]))
+        nested = (properties.get("collection.delim", DELIMITERS[1]), properties.get("mapkey.delim", DELIMITERS[2]), *DELIMITERS[3:])
+        rows = read_text_table(self.spark, path, self.spark.table(table).schema, properties.get("field.delim", DELIMITERS[0]), nested)
         self.cached.insert(table, rows, overwrite)
         return self._empty()

@@ -107,3 +107,10 @@ def test_rendering():
 def test_functions_register(spark):
     compat.register(spark)
     assert spark.sql("SELECT field3('b', 'a', 'b', 'c'), field_of('z', array('a')), url_part('http://h/p', 'HOST')").first()[:] == (2, 0, "h")
+
+
+def test_order_by_nulls_first(spark, small):
+    from millrace.operators.queries import QUERIES
+
+    rows = [(r.k, r.o_orderkey) for r in QUERIES["order_by_nulls"](spark, small).collect()]
+    assert rows == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, -r[1])) and rows[0][0] is None and rows[-1][0] == 3

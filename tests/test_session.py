@@ -24,7 +24,7 @@ def w(spark):
     spark.createDataFrame([(1, 0), (2, 0), (1, 1), (2, 0), (1, 1), (None, None)], "id int, click int").write.saveAsTable("clicks")
     spark.createDataFrame([(1, "A"), (2, "B"), (3, "A")], "id int, name string").write.saveAsTable("users")
     spark.createDataFrame([(None, "x")] * 10 + [(i, "y") for i in range(15)], "key int, val string").write.saveAsTable("nulls")
-    spark.createDataFrame([("a0", ["b00", "b01"], [{"c001": "C001", "c002": "C002"}, {"c011": None, "c012": "C012"}], {"d01": ["d011", "d012"], "d02": ["d021", "d022"]}), ("a2", [], None, None)], "a string, b array<string>, c array<map<string,string>>, d map<string,array<string>>").write.saveAsTable("nested")
+    spark.createDataFrame([("oak", ["leaf", "bark"], [{"height": "tall", "age": "old"}, {"height": None, "age": "young"}], {"north": ["fir", "elm"], "south": ["fig", "yew"]}), ("ash", [], None, None)], "a string, b array<string>, c array<map<string,string>>, d map<string,array<string>>").write.saveAsTable("nested")
     session = Warehouse(spark)
     for t in ("test", "clicks", "users", "nulls", "nested"):
         session.sql(f"CREATE TABLE {t}_cached AS SELECT * FROM {t}")
@@ -40,8 +40,8 @@ GOLDENS = [
     ("SELECT val, count(*) FROM {test} WHERE key = 484 GROUP BY val", ["val_484\t1"]), ("SELECT count(*) FROM {test} WHERE key > -1", ["500"]), ("SELECT key, count(*) FROM {test} GROUP BY key ORDER BY key LIMIT 1", ["0\t3"]),
     ("SELECT val, sum(key) FROM {test} WHERE key = 98 GROUP BY val ORDER BY val DESC LIMIT 1", ["val_98\t196"]), ("SELECT count(*) FROM {clicks} c JOIN {users} u ON c.id = u.id", ["5"]),
     ("SELECT name, count(*) FROM {clicks} c JOIN {users} u ON c.id = u.id GROUP BY name HAVING name = 'A'", ["A\t3"]), ("SELECT count(*) FROM {nulls} WHERE key IS NULL", ["10"]),
-    ("SELECT b FROM {nested} WHERE a = 'a0'", ['["b00","b01"]']), ("SELECT c FROM {nested} WHERE a = 'a0'", ['[{"c001":"C001","c002":"C002"},{"c011":null,"c012":"C012"}]']),
-    ("SELECT d FROM {nested} WHERE a = 'a0'", ['{"d01":["d011","d012"],"d02":["d021","d022"]}']), ("SELECT a, b, c FROM {nested} WHERE a = 'a2'", ["a2\t[]\tNULL"]),
+    ("SELECT b FROM {nested} WHERE a = 'oak'", ['["leaf","bark"]']), ("SELECT c FROM {nested} WHERE a = 'oak'", ['[{"age":"old","height":"tall"},{"age":"young","height":null}]']),
+    ("SELECT d FROM {nested} WHERE a = 'oak'", ['{"north":["fir","elm"],"south":["fig","yew"]}']), ("SELECT a, b, c FROM {nested} WHERE a = 'ash'", ["ash\t[]\tNULL"]),
     ("SELECT 1 / 0, cast('x' AS int), array(1)[3]", ["NULL\tNULL\tNULL"]), ("SELECT round(stddev(key), 3) = round(stddev_pop(key), 3), round(variance(key), 2) = round(var_pop(key), 2) FROM {test}", ["true\ttrue"]),
     ("SELECT field('b', 'a', 'b'), create_union(1, 5, 'five')", ['2\t{"tag":1,"v0":null,"v1":"five"}']), ("SELECT h, q FROM {users} LATERAL VIEW parse_url_tuple('http://e.org/p?k=1', 'HOST', 'QUERY:k') t AS h, q LIMIT 1", ["e.org\t1"]),
     ("SELECT to_date('2001-02-03 04:05:06'), date_add('2001-02-03', 2)", ["2001-02-03\t2001-02-05"]),
@@ -102,7 +102,7 @@ def test_name_rule_can_be_off(spark):
 
 
 def test_parsing():
-    assert parse_ctas("create table if not exists a.b TBLPROPERTIES ('cache'='true') as select 1") == ("a.b", {"cache": "true"}, "select 1", True)
+    assert parse_ctas("create table if not exists a.b TBLPROPERTIES ('cache'='true') as select 1") == ("a.b", {"cache": "true"}, "select 1", "", True)
     assert parse_ctas("CREATE TABLE t (a int)") is None
     assert parse_inserts("FROM x INSERT OVERWRITE TABLE a SELECT 1 INSERT INTO b SELECT 2 INSERT OVERWRITE LOCAL DIRECTORY '/q' SELECT 3") == [("a", True), ("b", False)]
 
@@ -120,6 +120,56 @@ def test_bucket_sample(w):
     assert sum(map(len, parts)) == 500 and all(int(k) % 4 == i for i, p in enumerate(parts) for k in p)
 
 
+def test_bucket_sample_on_strings(w):
+    parts = [w.sql(f"SELECT val FROM test TABLESAMPLE (BUCKET {i} OUT OF 3 ON val)") for i in (1, 2, 3)]
+    assert sum(map(len, parts)) == 500 and all(100 < len(p) < 250 for p in parts)
+
+
+def test_hash(w):
+    one = lambda x: w.sql(f"SELECT hash({x})")
+    assert one("'a', 1") == [str(31 * 97 + 1)] and one("cast(null as string)") == ["0"] and one("''") == ["0"] and one("true, false") == ["31"]
+    assert one("-1") == ["-1"] and one("cast(-1 as bigint)") == ["0"] and one("'é'") == [str(-61 * 31 - 87)]
+    long = "the quick brown fox jumps over it"
+    want = 0
+    for b in long.encode():
+        want = (want * 31 + b + 2**31) % 2**32 - 2**31
+    assert one(f"'{long}'") == [str(want)]
+    with pytest.raises(QueryExecutionError):
+        w.sql("SELECT hash(1.5D)")
+
+
+def test_ngrams(w):
+    text = "array(array('a', 'b', 'a', 'b', 'c'), array('x', 'a', 'b'))"
+    assert w.sql(f"SELECT ngrams({text}, 2, 2) FROM users WHERE id = 2") == ['[{"ngram":["a","b"],"estfrequency":3.0},{"ngram":["b","a"],"estfrequency":1.0}]']
+    found = w.sql_to_df(f"SELECT explode(context_ngrams({text}, array('a', null), 5)) AS x FROM users WHERE id = 2").collect()
+    assert [(r.x.ngram, r.x.estfrequency) for r in found] == [(["b"], 3.0)]
+
+
+def test_delimited_tables(w, tmp_path):
+    (tmp_path / "rows.txt").write_text("1,p;q,k:v;m:\\N\n2,,\nbad,z,k:w\n")
+    w.sql("CREATE TABLE loaded (id int, parts array<string>, of map<string,string>) ROW FORMAT DELIMITED FIELDS TERMINATED BY ',' COLLECTION ITEMS TERMINATED BY '\\073' MAP KEYS TERMINATED BY ':' STORED AS TEXTFILE")
+    w.sql(f"LOAD DATA LOCAL INPATH '{tmp_path}/rows.txt' INTO TABLE loaded")
+    w.sql(f"LOAD DATA LOCAL INPATH '{tmp_path}/rows.txt' OVERWRITE INTO TABLE loaded")
+    rows = {r.id: (r.parts, r["of"]) for r in w.sql_to_df("SELECT * FROM loaded").collect()}
+    assert rows == {1: (["p", "q"], {"k": "v", "m": None}), 2: ([], {}), None: (["z"], {"k": "w"})}
+    with pytest.raises(QueryExecutionError):
+        w.sql("CREATE EXTERNAL TABLE outside (a int) ROW FORMAT DELIMITED FIELDS TERMINATED BY ',' LOCATION '/tmp/x'")
+    w.sql("DROP TABLE loaded")
+
+
+def test_create_as_keeps_its_clauses(w, tmp_path):
+    w.sql(f"CREATE TABLE made USING orc PARTITIONED BY (val) LOCATION '{tmp_path}/made' TBLPROPERTIES ('a'='b') AS SELECT key, val FROM test WHERE key < 3")
+    said = {r.col_name: r.data_type for r in w.spark.sql("DESCRIBE FORMATTED made").collect()}
+    assert said["Provider"] == "orc" and said["Location"].endswith("/made") and "a=b" in said["Table Properties"]
+    assert len(w.spark.sql("SHOW PARTITIONS made").collect()) == 3
+    w.sql("CREATE TABLE made_too STORED AS ORC AS SELECT 1 AS x")
+    assert {r.col_name: r.data_type for r in w.spark.sql("DESCRIBE FORMATTED made_too").collect()}["Provider"] == "orc"
+    with pytest.raises(QueryExecutionError):
+        w.sql("CREATE TABLE made_cached PARTITIONED BY (val) AS SELECT key, val FROM test")
+    w.sql("DROP TABLE made")
+    w.sql("DROP TABLE made_too")
+
+
 def test_console(w, tmp_path):
     out, err = io.StringIO(), io.StringIO()
     script = tmp_path / "s.sql"
