@@ -100,7 +100,7 @@ statement(
 statement("agg_percentile", "SELECT o_orderstatus, round(percentile(o_totalprice, 0.5D), 3) AS median, round(percentile(o_totalprice, 0.9D), 3) AS p90 FROM {orders} GROUP BY o_orderstatus", "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.5), 3) AS median, round(quantile_cont(o_totalprice, 0.9), 3) AS p90 FROM orders GROUP BY o_orderstatus")
 statement("agg_collect_set", "SELECT c_nationkey, array_join(array_sort(collect_set(c_mktsegment)), ',') AS segments FROM {customer} GROUP BY c_nationkey", "SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments FROM customer GROUP BY c_nationkey")
 statement("agg_null_groups", "SELECT nullif(user_id % 7, 3) AS g, event_type, count(*) AS n, round(max(value), 4) AS most FROM {events} GROUP BY nullif(user_id % 7, 3), event_type")
-statement("agg_by_expression", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n, round(avg(o_totalprice), 1) AS mean FROM {orders} GROUP BY year(o_orderdate), month(o_orderdate)", "SELECT year(o_orderdate)::int AS y, month(o_orderdate)::int AS m, count(*) AS n, round(avg(o_totalprice), 1) AS mean FROM orders GROUP BY ALL")
+statement("agg_by_expression", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n, round(avg(o_totalprice), 0) AS mean FROM {orders} GROUP BY year(o_orderdate), month(o_orderdate)", "SELECT year(o_orderdate)::int AS y, month(o_orderdate)::int AS m, count(*) AS n, round(avg(o_totalprice), 0) AS mean FROM orders GROUP BY ALL")
 statement("agg_complex_key", "SELECT to_json(k) AS k, n FROM (SELECT struct(c_nationkey AS a, c_mktsegment AS b) AS k, count(*) AS n FROM {customer} GROUP BY struct(c_nationkey AS a, c_mktsegment AS b))", "SELECT '{\"a\":' || c_nationkey || ',\"b\":\"' || c_mktsegment || '\"}' AS k, count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment")
 statement("having", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_custkey HAVING count(*) >= 12 AND sum(o_totalprice) > 100")
 statement("select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM {lineitem}")
