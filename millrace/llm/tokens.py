@@ -30,10 +30,12 @@ FRAME = 1 << 20
 #: Ids in a word and bits of each, by selector from 1.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-#: Bytes of text, and distinct parts of it, that are encoded at once.
-_BYTES, _TOGETHER = 1 << 22, 1 << 13
-#: Distinct words whose ids are kept from one run of texts to the next.
-_KEPT = 150_000
+#: Bytes of text that are encoded at once.
+_BYTES = 1 << 22
+#: Distinct words whose ids are kept from one run of texts to the next; beyond it those go that only one run had.
+_KEPT = 400_000
+#: Bytes of input for which a further token file is written.
+_SHARD = 64 << 20
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -46,12 +48,15 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    high = values >> np.uint64(32)
-    wide = np.flatnonzero(high)  # frexp is exact only below 2 ** 53
-    bits = np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.int8)
-    bits[wide] = 32 + np.frexp(high[wide].astype(np.float64))[1]
-    place = np.arange(n)
-    room = np.minimum(block - place % block, n - place)
+    exact = np.float32 if values.max() < 1 << 24 else np.float64
+    bits = np.maximum(np.frexp(values.astype(exact))[1], 1).astype(np.int8)
+    if exact is np.float64:  # which is so only below 2 ** 53
+        high = values >> np.uint64(32)
+        wide = np.flatnonzero(high)
+        bits[wide] = 32 + np.frexp(high[wide].astype(np.float64))[1]
+    room = np.tile(np.arange(block, 0, -1, dtype=np.int16), -(-n // block))[:n]
+    if n % block:
+        room[n - n % block :] = np.arange(n % block, 0, -1)
     best, most, before = np.zeros(n, np.int8), bits, 1
     for s in range(len(COUNTS) - 1, 0, -1):  # from one value a word up; most[i] is the widest of values i to i + count - 1
         count = int(COUNTS[s])
@@ -59,7 +64,7 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
             break
         if count > 1:
             most, before = np.maximum(most[: n - count + 1], most[count - before :][: n - count + 1]), count
-        best[: n - count + 1][(most <= WIDTHS[s]) & (room[: n - count + 1] >= count)] = s
+        np.copyto(best[: n - count + 1], s, where=(most <= WIDTHS[s]) & (room[: n - count + 1] >= count))
     at, end, seen = np.arange(0, n, block), np.minimum(np.arange(block, n + block, block), n), []
     while len(at):
         seen.append(at)
@@ -81,28 +86,38 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
-    """The `n` values that pack() gave."""
+    """The `n` values that pack() gave. All blocks step from word to word at once, each from its own offset."""
     words = np.asarray(words, np.uint64)
-    if not n:
-        return np.zeros(0, np.uint64)
-    selector = (words >> np.uint64(60)).astype(np.int64)
-    literal = np.zeros(len(words), bool)
-    for i in np.flatnonzero(selector == 0).tolist():  # escapes are rare; a literal may itself look like one
-        if not literal[i]:
-            literal[i + 1] = True
-    counts = np.where(literal, 0, COUNTS[np.minimum(selector, len(COUNTS) - 1)])
-    starts = np.cumsum(counts) - counts
+    selector = (words >> np.uint64(60)).astype(np.int8)
+    at, place = np.asarray(offsets, np.int64), np.arange(0, n, block)
+    end, seen = np.minimum(place + block, n), []
+    while len(at):
+        seen.append((at, place))
+        own = selector[at]
+        at, place = at + 1 + (own == 0), place + COUNTS[own]  # an escape takes the next word as well
+        live = place < end
+        at, place, end = at[live], place[live], end[live]
     out = np.zeros(n, np.uint64)
-    for s in range(1, len(COUNTS)):
-        own = np.flatnonzero((selector == s) & ~literal)
-        if len(own):
-            shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
-            out[starts[own][:, None] + np.arange(COUNTS[s])] = (words[own][:, None] >> shifts) & np.uint64((1 << int(WIDTHS[s])) - 1)
-    escapes = np.flatnonzero((selector == 0) & ~literal)
-    out[starts[escapes]] = words[escapes + 1]
+    if not seen:
+        return out
+    at, place = (np.concatenate(x) for x in zip(*seen))
+    own = selector[at]
+    for s in np.unique(own):
+        here = own == s
+        if s == 0:
+            out[place[here]] = words[at[here] + 1]
+            continue
+        shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
+        out[place[here][:, None] + np.arange(COUNTS[s])] = (words[at[here]][:, None] >> shifts) & np.uint64((1 << int(WIDTHS[s])) - 1)
     return out
 
 
+def unpack_block(words: np.ndarray, offsets: np.ndarray, n: int, which: int, block: int = BLOCK) -> np.ndarray:
+    """The values of one block, of which alone the words are read."""
+    to = offsets[which + 1] if which + 1 < len(offsets) else len(words)
+    return unpack(words[offsets[which] : to], np.zeros(1, np.int64), min(block, n - which * block), block)
+
+
 def _lists(flat: np.ndarray, counts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of lists that stand one after another in `flat`: the lists `which`, one after another, and where each ends."""
     starts = (np.cumsum(counts) - counts)[which]
@@ -115,89 +130,102 @@ class WordEncoder:
     """Ids by distinct words between spaces and line feeds, and those of visible ASCII by their distinct parts.
 
     Holds for tokenizers that turn white space into one space and drop it, ignore case, cut ASCII as _PARTS does and
-    mark the last token of each part; a few texts check that at the start. Splitting, lower-casing and finding distinct
-    words are Arrow's.
+    take a part's bytes as they stand; a few texts check that at the start. Splitting, lower-casing, and finding distinct
+    and known words are Arrow's.
     """
 
     _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # fixed values: the tokenizer's own cuts
     _PLAIN = re.compile(r"[!-~]+")
+    #: A word of letters, and one with a closing sign, which is no apostrophe.
+    _LETTERS, _CLOSED = "^[a-z]+$", "^[a-z]+[!-&(-/:-@\\[-`{-~]$"
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self._reset()
-        suffix = self.tokenizer.model.end_of_word_suffix
-        if not suffix:
-            raise ValueError("this tokenizer doesn't mark the ends of words")
-        names = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(names.values()) + 1, bool)
-        self.last[[i for name, i in names.items() if name.endswith(suffix)]] = True
-        probe = ["A b\n c", "It's don't I'LL x''s y!'s 12ab3", "", "(re)'re-'ve,''d.'m \u00c9T\u00c9"]
+        probe = ["A b\n c", "It's don't I'LL x''s y!'s 12ab3", "", "(re)'re-'ve,''d.'m \u00c9T\u00c9", "one, two. ~ `a` [b] \\ c^", "<|EndOfText|> x<|startoftext|>y"]
         if self.encode(pa.array(probe), 0)[0].tolist() != [i for x in self._ids(probe) for i in [*x, 0]]:
             raise ValueError("this tokenizer's ids depend on white space, case or other cuts of ASCII")
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.words, self.uses = pa.array([], pa.string()), np.zeros(0, np.int64)
         self.ids, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
+    def _forget(self) -> None:
+        """Drop words that one run of texts had, or all if too many others are left; this changes no result."""
+        often = np.flatnonzero(self.uses > 1)
+        if len(often) > _KEPT // 2:
+            return self._reset()
+        self.ids, _ = _lists(self.ids, self.counts, often)
+        self.words, self.counts, self.uses = self.words.take(pa.array(often)), self.counts[often], self.uses[often] // 2
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in run(texts, add_special_tokens=False)]
 
-    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain parts, which are one pre-token each, and their number by part: encoded as texts of many parts, in
-        which the tokens that end words end parts. Texts are short, as the library holds much for each character."""
-        found = [np.array(self._ids([" ".join(parts[i : i + _TOGETHER])])[0], np.int64) for i in range(0, len(parts), _TOGETHER)]
-        ids = np.concatenate(found) if found else np.zeros(0, np.int64)
-        return ids, np.diff(np.concatenate(([0], np.flatnonzero(self.last[ids]) + 1)))
-
     def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all `words` and their number by word."""
-        simple = pc.match_substring_regex(words, "^[a-z]+$")
-        ids, counts = self._together(words.filter(simple).to_pylist())
-        if len(ids) and counts.sum() != len(ids):
-            raise ValueError("a word of letters isn't one pre-token")
-        known, cut, odd = {}, [], {}
-        for w in words.filter(pc.invert(simple)).to_pylist():  # parts count from 0, odd words from -1 down
+        """Ids of all `words`, which are not known yet, and their number by word."""
+        simple, closed = (pc.match_substring_regex(words, x) for x in (self._LETTERS, self._CLOSED))
+        ended = words.filter(closed)
+        heads, signs = pc.utf8_slice_codeunits(ended, 0, -1), pc.utf8_slice_codeunits(ended, -1)
+        cut, odd = [], {}  # odd words count from -1 down
+        for w in words.filter(pc.invert(pc.or_(simple, closed))).to_pylist():
             if self._PLAIN.fullmatch(w) and "<|" not in w:
-                cut.append([known.setdefault(p, len(known)) for p in self._PARTS.findall(w.lower())])
+                cut.append(self._PARTS.findall(w.lower()))
             else:
                 cut.append([odd.setdefault(w, -1 - len(odd))] if w else [])
-        flat, sizes = self._together([*known])
-        alone = self._ids([*odd])[::-1]  # so that the last odd word comes first
-        flat = np.concatenate((np.array([i for x in alone for i in x], np.int64), flat))
-        sizes = np.concatenate((np.fromiter(map(len, alone), np.int64, len(alone)), sizes))
-        which = np.array([p for own in cut for p in own], np.int64) + len(odd)
-        others, ends = _lists(flat, sizes, which)
-        ends = np.concatenate(([0], ends))[np.cumsum([0, *map(len, cut)])]
-        simple = simple.to_numpy(zero_copy_only=False)
-        total = np.zeros(len(words), np.int64)
-        total[simple], total[~simple] = counts, np.diff(ends)
-        out, first = np.zeros(int(total.sum()), np.int64), np.repeat(simple, total)
-        out[first], out[~first] = ids, others
-        return out, total
+        others = [p for own in cut for p in own]
+        plain = pa.array([p for p in others if isinstance(p, str)], pa.string())
+        alone = words.filter(simple)
+        parts = pc.unique(pa.concat_arrays([alone, heads, signs, plain]))
+        # a part is a word by itself, so its ids may be known
+        number = pc.fill_null(pc.index_in(parts, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh, model = parts.filter(pa.array(number < 0)).to_pylist(), self.tokenizer.model.tokenize
+        found = [[t.id for t in model(p)] for p in fresh] + self._ids([*odd])
+        number[number < 0] = len(self.words) + np.arange(len(fresh))
+        flat = np.concatenate((self.ids, np.array([i for x in found for i in x], np.int32)))
+        sizes = np.concatenate((self.counts, np.fromiter(map(len, found), np.int64, len(found))))
+        of = lambda x: number[pc.index_in(x, value_set=parts).to_numpy(zero_copy_only=False)] if len(x) else np.zeros(0, np.int64)
+        first, second = simple.to_numpy(zero_copy_only=False), closed.to_numpy(zero_copy_only=False)
+        n_parts = np.where(first, 1, 2)
+        n_parts[~(first | second)] = [len(own) for own in cut]
+        starts = np.cumsum(n_parts) - n_parts
+        which = np.zeros(int(n_parts.sum()), np.int64)
+        which[starts[first]] = of(alone)
+        which[starts[second]], which[starts[second] + 1] = of(heads), of(signs)
+        named = np.array([p if isinstance(p, int) else 0 for p in others], np.int64)
+        named[named < 0] = len(self.words) + len(fresh) - 1 - named[named < 0]
+        named[[i for i, p in enumerate(others) if isinstance(p, str)]] = of(plain)
+        inner = np.repeat(~(first | second), n_parts)
+        which[inner] = named
+        ids, ends = _lists(flat, sizes, which)
+        ends = np.concatenate(([0], ends))
+        return ids, ends[starts + n_parts] - ends[starts]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and their number by text. Null texts count as empty."""
         texts = pc.fill_null(texts, "")
-        # lower-casing first is no different only where no combining mark could join a small letter alone
-        low = pc.replace_substring(pc.if_else(pc.match_substring_regex(texts, r"\pM"), texts, pc.ascii_lower(texts)), "\n", " ")
-        cut = pc.split_pattern(low, " ")
+        # lower-casing first is no different only where no combining mark could join a small letter alone, and where no
+        # special token, which the library finds before it lower-cases, could be written in capitals
+        kept = pc.or_(pc.match_substring_regex(texts, r"\pM"), pc.match_substring(texts, "<|"))
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(kept, texts, pc.ascii_lower(texts)), "\n", " "), " ")
         coded = pc.list_flatten(cut).dictionary_encode()
-        if len(self.index) > _KEPT:  # changes no result
-            self._reset()
-        words, index, new = coded.dictionary.to_pylist(), self.index, []
-        for w in words:
-            if w not in index:
-                index[w] = len(index)
-                new.append(w)
-        if new:
-            ids, counts = self._of_words(pa.array(new, pa.string()))
+        if len(self.words) > _KEPT:
+            self._forget()
+        known = pc.index_in(coded.dictionary, value_set=self.words)
+        number = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = coded.dictionary.filter(pc.is_null(known))
+        if len(new):
+            ids, counts = self._of_words(new)
+            number[number < 0] = len(self.words) + np.arange(len(new))
+            self.words, self.uses = pa.concat_arrays([self.words, new]), np.concatenate((self.uses, np.zeros(len(new), np.int64)))
             self.ids, self.counts = np.concatenate((self.ids, ids.astype(np.int32))), np.concatenate((self.counts, counts))
-        which = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        flat, ends = _lists(self.ids, self.counts, which[coded.indices.to_numpy()])
-        at = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))
-        counts = np.diff(np.concatenate(([0], ends))[at])
-        return np.insert(flat, np.cumsum(counts), end).astype(np.uint32, copy=False), counts + 1
+        self.uses[number] += 1
+        # the end is one more word after each text's
+        n_words = np.cumsum(pc.list_value_length(cut).to_numpy())
+        which = np.insert(number[coded.indices.to_numpy()], n_words, len(self.words))
+        flat, ends = _lists(np.append(self.ids, np.int32(end)), np.append(self.counts, 1), which)
+        counts = np.diff(np.concatenate(([0], ends[n_words + np.arange(len(texts))])))
+        return flat.astype(np.uint32, copy=False), counts
 
 
 _FRAMES = "shard int, frame int, start long, doc_ids array<long>, counts array<long>, offsets binary, words binary"
@@ -211,7 +239,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1)
     dealing by range reads its input twice, once for a sample, and encoding is the dear step.
     """
     spark = docs.sparkSession
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)  # larger shards have fewer distinct words
+    size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # larger shards have fewer distinct words; where Spark can't tell the size it says the largest of all
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, size // _SHARD if size < 1 << 60 else 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.crc32("text"))
 
     def frames(batches):

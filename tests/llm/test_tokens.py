@@ -9,10 +9,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from millrace.llm.tokens import WordEncoder, pack, token_report, unpack
+from millrace.llm import tokens
+from millrace.llm.tokens import WordEncoder, pack, token_report, unpack, unpack_block
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", " ", "Hello, WORLD's 42nd\tline\n\nit's", "ΑΣ ΑΣΑ", "J̌ ǰ É", "<|endoftext|> <|startoftext|>x", "a\x0bb\x1cc d", "''s'' 'RE don'T", "naïve ǅ İ ﬁ", "x" * 5000, "的人 梦", "###%%% &&&", "12345 6"]
+TEXTS = ["", " ", "Hello, WORLD's 42nd\tline\n\nit's", "ΑΣ ΑΣΑ", "J̌ ǰ É", "<|endoftext|> <|startoftext|>x", "a\x0bb\x1cc d", "''s'' 'RE don'T", "naïve ǅ İ ﬁ", "x" * 5000, "<|ENDOFTEXT|>", "Say x<|StartOfText|>y, No", "<|Endoftext|>, A", "a, b. c! d~ e' f\\ g` h^", "的人 梦", "###%%% &&&", "12345 6"]
 
 
 @settings(max_examples=200, deadline=None)
@@ -23,7 +24,9 @@ def test_round_trip(values, block):
     for k, at in enumerate(offsets.tolist()):  # each block decodes on its own
         own = values[k * block : (k + 1) * block]
         end = offsets[k + 1] if k + 1 < len(offsets) else len(words)
-        assert unpack(words[at:end], np.zeros(1), len(own), block).tolist() == own
+        hidden = np.zeros_like(words)
+        hidden[at:end] = words[at:end]
+        assert unpack_block(hidden, offsets, len(values), k, block).tolist() == own
 
 
 def test_density():
@@ -42,6 +45,15 @@ def test_same_as_library():
     same([*TEXTS, None])
 
 
+def test_forgotten_words_change_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "_KEPT", 12)
+    library, encoder = Tokenizer.from_file(PATH), WordEncoder(PATH)
+    for i in range(40):
+        texts = [f"the same words, always; w{i % 7} and new{i} é{i % 3}", "the end."] + TEXTS[i % 5 :: 5]
+        flat, _ = encoder.encode(pa.array(texts), 1)
+        assert flat.tolist() == [x for e in library.encode_batch(texts, add_special_tokens=False) for x in [*e.ids, 1]]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("abcTHE'st 12\n<|>.,!́")), max_size=50), max_size=4))
 def test_any_text_same_as_library(texts):
