@@ -139,5 +139,39 @@ select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE
 """
 
 
+def _revisits_sql() -> str:
+    """Each page's revisit and the latest response before it, from the page alone, without any WARC bytes."""
+    pattern = r"'^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?@]*@)?([^/?:]*)(?::(\d+))?([^?]*)(?:\?(.*))?$'"
+    part = lambda i: f"regexp_extract(b, {pattern}, {i})"
+    host = rf"regexp_replace(lower({part(2)}), '^www\d?\.|\.$', '', 'g')"
+    port = f"case when {part(3)} = '' or lower({part(1)}) || ':' || {part(3)} in ('http:80', 'https:443') then '' else ':' || {part(3)} end"
+    path = f"regexp_replace(regexp_replace({part(4)}, '/+', '/', 'g'), '/$', '')"
+    tracking = "'ref', 'fbclid', 'gclid', 'utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'sessionid'"
+    asked = f"list_sort(list_filter(string_split({part(5)}, '&'), lambda x: x <> '' and lower(split_part(x, '=', 1)) not in ({tracking})))"
+    query = f"case when len({asked}) > 0 then '?' || array_to_string({asked}, '&') else '' end"
+    canonical = f"case when {host} <> '' then {host} || {port} || {path} || {query} else b end"
+    date = "strftime(make_timestamp({} * 1000000), '%a, %d %b %Y %H:%M:%S GMT')"
+    return rf"""
+with p as (
+  select page_id, coalesce(url, '') as u, coalesce(html, '') as html, 1600000000 + (page_id * 7919) % 1000000 as t,
+    case when page_id % 7 = 3 then md5(coalesce(html, '') || 'changed') else md5(coalesce(html, '')) end as seen from pages),
+f as (select page_id, t, html, regexp_replace(trim(u), '#.*$', '') as b from p),
+r as (select page_id, t, html, 'urn:page:' || page_id || ':response' as id, {canonical} as c from f),
+g as (
+  select page_id, t + (page_id % 5 - 1) * 50000 + 1 as t, seen, regexp_replace(trim(case when starts_with(u, 'https:') then 'http' || u[6:] when starts_with(u, 'http:') then 'https' || u[5:] else u end), '#.*$', '') as b from p),
+v as (select page_id, t, seen, 'urn:page:' || page_id || ':revisit' as id, {canonical} as c from g),
+j as (
+  select v.page_id, v.c, v.t, v.seen, r.page_id as rp, r.t as rt, r.html
+  from v left join r on r.c = v.c and (r.t < v.t or r.t = v.t and r.id < v.id)
+  qualify row_number() over (partition by v.page_id order by r.t desc nulls last, r.id desc) = 1),
+o as (select *, case when rp is null then 'missing' when seen = md5(html) then 'resolved' else 'mismatch' end as outcome from j)
+select page_id, c as canonical, outcome, case when outcome = 'resolved' then rp end as response_page_id, case when outcome = 'resolved' then 200 end as status,
+  case when outcome = 'resolved' then 'cache-control: max-age=3600' || chr(10) || 'content-length: ' || strlen(html) || chr(10) || 'content-type: text/html; charset=utf-8' || chr(10)
+    || 'date: ' || {date.format("t")} || chr(10) || 'etag: "' || md5(html) || '"' || chr(10) || 'last-modified: ' || {date.format("rt")} end as headers,
+  case when outcome = 'resolved' then strlen(html) end as body_length, case when outcome = 'resolved' then sha256(html) end as body_sha256
+from o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": _CONTAMINATION, "op8_secret_scan": _secrets_sql()}
+    return {"op7_warc_revisits": _revisits_sql(), "op2_benchmark_decontamination": _CONTAMINATION, "op8_secret_scan": _secrets_sql()}

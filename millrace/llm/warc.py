@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+import zlib
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -35,11 +36,12 @@ def canonical_url(url: Column) -> Column:
     A null URL stays null, and a string that is no URL is kept as it is, trimmed.
     """
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
-    part = lambda i: F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?:]*)(?::(\d+))?([^?]*)(?:\?(.*))?$", i)
-    host = F.regexp_replace(F.lower(part(1)), r"^www\d?\.|\.$", "")
-    port = F.when(part(2).isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), part(2)))
-    path = F.regexp_replace(F.regexp_replace(part(3), "/+", "/"), "/$", "")
-    asked = F.array_sort(F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING)))
+    part = lambda i: F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?@]*@)?([^/?:]*)(?::(\d+))?([^?]*)(?:\?(.*))?$", i)
+    host = F.regexp_replace(F.lower(part(2)), r"^www\d?\.|\.$", "")
+    usual = F.concat_ws(":", F.lower(part(1)), part(3)).isin("http:80", "https:443")
+    port = F.when((part(3) == "") | usual, "").otherwise(F.concat(F.lit(":"), part(3)))
+    path = F.regexp_replace(F.regexp_replace(part(4), "/+", "/"), "/$", "")
+    asked = F.array_sort(F.filter(F.split(part(5), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING)))
     query = F.when(F.size(asked) > 0, F.concat(F.lit("?"), F.array_join(asked, "&"))).otherwise("")
     return F.when(host != "", F.concat(host, port, path, query)).otherwise(bare)
 
@@ -64,8 +66,29 @@ def _headers(block: bytes) -> dict[str, str]:
     return found
 
 
+def _members(data: bytes):
+    """The contents of each gzip member, one after another; what a member that is cut short still gives comes last."""
+    view, at = memoryview(data), 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof and at < len(data):
+            given = view[at : at + (1 << 16)]
+            try:
+                parts.append(one.decompress(given))
+            except zlib.error:
+                yield b"".join(parts)
+                return
+            at += len(given) - len(one.unused_data)
+        yield b"".join(parts)
+
+
 def parse(data: bytes):
-    """(record_id, type, url, date, status, headers, body) of each record; one that is cut short ends the file."""
+    """(record_id, type, url, date, status, headers, body) of each record; one that is cut short ends the file or, in a
+    compressed file, its member."""
+    if data[:2] == b"\x1f\x8b":
+        for member in _members(data):
+            yield from parse(member)
+        return
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
@@ -84,7 +107,7 @@ def parse(data: bytes):
 
 
 def read_records(files: DataFrame) -> DataFrame:
-    """The RECORD rows of a column `content` of whole WARC files; null and empty files have none."""
+    """The RECORD rows of a column `content` of whole WARC files, plain or gzip; null and empty files have none."""
 
     def run(batches):
         for batch in batches:
@@ -107,16 +130,19 @@ def resolve(records: DataFrame) -> DataFrame:
     """Each revisit with its outcome: record_id, canonical, outcome, response_id, status, headers, body_length, body_sha256.
 
     outcome is resolved; mismatch, if both records have an entity tag, or else both a date of modification, and they
-    differ; or missing, if no earlier full response (status 200) of the canonical URL is there. Of records with one date
-    the one with the smaller record_id counts as earlier; null dates come first. A resolved revisit has the response's
-    status and headers, updated by its own where a 304 may do so. Rows with a null URL never match. Repeated rows each
-    give a row. Bodies stay where they are: only their length and digest travel.
+    differ; or missing, if no earlier full response (status 200) of the canonical URL is there. Dates are compared as points
+    in time. Of records with one date the one with the smaller record_id counts as earlier; dates that are null or can't be
+    read come first. A resolved revisit has the response's
+    status and headers, updated by its own where a 304 may do so. A revisit with a null URL is missing. Repeated rows each
+    give a row; an empty table gives an empty result. Bodies stay where they are: only their length and digest travel.
     """
     own = records.select(
-        "record_id", "type", canonical_url(F.col("url")).alias("canonical"), "date", "status", "headers", F.length("body").alias("body_length"), F.sha2("body", 256).alias("body_sha256"),
+        "record_id", "type", canonical_url(F.col("url")).alias("canonical"), F.col("date").try_cast("timestamp").alias("date"), "status", "headers", F.length("body").alias("body_length"), F.sha2("body", 256).alias("body_sha256"),
         ((F.col("type") == "response") & (F.col("status") == 200)).alias("full"), (F.col("type") == "revisit").alias("revisit"),
     )
-    own = own.filter("canonical is not null and (full or revisit)")
+    # written before it is dealt by range, which would read the files once more for a sample
+    own = materialize(own.filter("full or revisit"), "records")
+    lost, own = own.filter("revisit and canonical is null"), own.filter("canonical is not null")
     parts = max(1, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["canonical", "date", "record_id"]
     dealt = materialize(own.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "captures")
@@ -137,14 +163,18 @@ def resolve(records: DataFrame) -> DataFrame:
     merged = F.map_concat(F.map_filter("r.headers", lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(may), k), F.lit(False))), may)
     rows = rows.withColumn("outcome", outcome)
     done = F.col("outcome") == "resolved"
-    return rows.select("record_id", "canonical", "outcome", F.when(done, F.col("r.record_id")).alias("response_id"), F.when(done, F.col("r.status")).alias("status"), F.when(done, merged).alias("headers"), F.when(done, F.col("r.body_length")).alias("body_length"), F.when(done, F.col("r.body_sha256")).alias("body_sha256"))
+    cols = {"response_id": F.col("r.record_id"), "status": F.col("r.status"), "headers": merged, "body_length": F.col("r.body_length"), "body_sha256": F.col("r.body_sha256")}
+    found = rows.select("record_id", "canonical", "outcome", *[F.when(done, c).alias(k) for k, c in cols.items()])
+    none = [F.lit(None).cast(found.schema[k].dataType).alias(k) for k in cols]
+    return found.union(lost.select("record_id", "canonical", F.lit("missing"), *none))
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """(page_id, content): for each page a WARC file of its response and of a later revisit, made from the page alone.
+    """(page_id, content): for each page a WARC file of its response and of a revisit, made from the page alone.
 
-    Pages hold no headers, so validators come from the page: its entity tag from its html, its date from page_id.
-    The revisit is of the page's URL under another scheme, with a fragment, and reports the entity tag of the html.
+    Pages hold no headers, so validators come from the page: its entity tag from its html, its dates from page_id. The
+    revisit is of the page's URL under another scheme, with a fragment; every fifth one comes before the response, and
+    every seventh one reports another entity tag than that of the html.
     """
 
     def run(batches):
@@ -153,10 +183,11 @@ def captures(pages: DataFrame) -> DataFrame:
             for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 body, n = (html or "").encode(), page_id or 0
                 tag = f'"{hashlib.md5(body).hexdigest()}"'
-                when = datetime.fromtimestamp(1_600_000_000 + n % 10**9, timezone.utc)
-                later = datetime.fromtimestamp(2_600_000_000 + n % 10**9, timezone.utc)
+                at = 1_600_000_000 + n * 7919 % 1_000_000
+                when, later = (datetime.fromtimestamp(x, timezone.utc) for x in (at, at + (n % 5 - 1) * 50_000 + 1))
+                seen = f'W/"{hashlib.md5(body + b"changed").hexdigest()}"' if n % 7 == 3 else f"W/{tag}"
                 http = {"Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(body)), "ETag": tag, "Last-Modified": when.strftime("%a, %d %b %Y %H:%M:%S GMT"), "Cache-Control": "max-age=60"}
-                again = {"ETag": f"W/{tag}", "Cache-Control": "max-age=3600", "Date": later.strftime("%a, %d %b %Y %H:%M:%S GMT")}
+                again = {"ETag": seen, "Cache-Control": "max-age=3600", "Date": later.strftime("%a, %d %b %Y %H:%M:%S GMT")}
                 url = url or ""
                 other = "http" + url[5:] if url.startswith("https:") else "https" + url[4:] if url.startswith("http:") else url
                 stamp = "%Y-%m-%dT%H:%M:%SZ"
