@@ -1,9 +1,9 @@
 """Personal data by weak supervision: labelers vote, expectation-maximisation weighs them, and a classifier is trained.
 
 Base spans come from fixed patterns and always stay. Further candidates come from loose patterns; five labelers (format,
-checksum, gazetteer, context, shape) vote for, against or not at all. Their reliabilities are estimated without labels
-from how often each combination of votes occurs in the whole corpus, and the posteriors that follow train a logistic
-classifier on votes, length and surroundings, which decides each candidate. All that the driver sees is a count for
+checksum, gazetteer, context, shape) vote for, against or not at all, on base spans too. Their reliabilities are estimated
+without labels from how often each combination of votes occurs among all these spans of the whole corpus, and the
+posteriors that follow train a logistic classifier on votes, length and surroundings, which decides each candidate. All that the driver sees is a count for
 each combination, of which there are at most len(KINDS) * 3 ** 5 * 4 * 3 * 3.
 """
 
@@ -40,6 +40,8 @@ _LOOSE = (
     ("id", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z.+-])(?:00[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z])")),
 )
+#: What a spelt-out address has one of.
+_SPELT = (" dot ", "dot)", "dot]", "dot}", "at)", "at]", "at}", "＠")
 # Gazetteers and context words.
 _DOMAINS = frozenset("com org net edu gov de fr es uk eu io info biz ch at it nl".split())
 _ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "2221", "2720", "6011", "65", "35", "36", "38", "62")
@@ -129,14 +131,21 @@ def _decode(code: int) -> tuple[int, list[int], int, int, int]:
     return code, vote[::-1], length, left, right
 
 
+def span_code(text: str, kind: int, start: int, end: int) -> int:
+    """The number of a span's votes, length and neighbours."""
+    vote = votes(KINDS[kind], text[start:end], text[max(0, start - 40) : start], text[end : end + 10])
+    return _code(kind, vote, end - start, text[start - 1 : start] if start else "", text[end : end + 1])
+
+
 def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(kind number, start, end, code) of loose matches that overlap no base span and no earlier candidate, by start."""
     if not any(c in text for c in "0123456789[({＠") and " at " not in text:
         return []
     found, taken = [], sorted((s, e) for _, s, e in base)
     claims = []
+    low = text.lower()
     for kind, pattern in _LOOSE:
-        if kind == "email" and " dot " not in text.lower() and "at" + ")" not in text.lower() and "at]" not in text.lower() and "at}" not in text.lower() and "＠" not in text:
+        if kind == "email" and not any(x in low for x in _SPELT):  # prose with " at " and a full stop is no address
             continue
         for m in pattern.finditer(text):
             claims.append((m.start(), m.end(), KINDS.index(kind)))
@@ -151,8 +160,7 @@ def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
         if s < last or at < len(taken) and taken[at][0] < e:
             continue
         last = e
-        vote = votes(KINDS[k], text[s:e], text[max(0, s - 40) : s], text[e : e + 10])
-        found.append((k, s, e, _code(k, vote, e - s, text[s - 1 : s], text[e : e + 1])))
+        found.append((k, s, e, span_code(text, k, s, e)))
     return found
 
 
@@ -209,7 +217,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added) for each row of `docs`: arrays of struct(kind, start, end, code), kinds numbered as KINDS.
 
     Offsets count code points, ends exclusive. Null texts count as empty. Repeated rows each give a row and count in the
-    statistics. Other columns are not read. The text is read once; later steps read the spans.
+    statistics; an empty table gives an empty result. doc_id counts as a long. Texts of any length are taken whole. Other
+    columns are not read. The text is read once; later steps read the spans.
     """
 
     def run(batches):
@@ -219,13 +228,13 @@ def find_pii(docs: DataFrame) -> DataFrame:
             for t in batch.column(1):
                 text = t.as_py() or ""
                 own = base_spans(text)
-                base.append([{"kind": k, "start": s, "end": e, "code": -1} for k, s, e in own])
+                base.append([{"kind": k, "start": s, "end": e, "code": span_code(text, k, s, e)} for k, s, e in own])
                 more.append([{"kind": k, "start": s, "end": e, "code": c} for k, s, e, c in candidate_spans(text, own)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(more, kind)], ["doc_id", "base", "candidates"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, base {_SPAN}, candidates {_SPAN}")
     rows = materialize(rows, "pii")
-    counts = {r.code: r["count"] for r in rows.select(F.explode("candidates.code").alias("code")).groupBy("code").count().collect()}
+    counts = {r.code: r["count"] for r in rows.select(F.explode(F.concat("base.code", "candidates.code")).alias("code")).groupBy("code").count().collect()}
     taken = sorted(train(counts))
     added = F.filter("candidates", lambda c: c["code"].isin(taken)) if taken else F.array().cast(_SPAN)
     return rows.select("doc_id", "base", added.alias("added"))

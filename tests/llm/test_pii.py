@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from millrace.llm.pii import KINDS, base_spans, candidate_spans, find_pii, luhn, pii_report, reliabilities, train
+from millrace.llm.pii import KINDS, _decode, base_spans, candidate_spans, find_pii, luhn, pii_report, reliabilities, span_code, train
 
 PLAIN = (
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -57,6 +57,59 @@ def test_candidates_leave_base_alone():
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_spelt_out_addresses_become_candidates():
+    for text in ("write jane at example(dot)com today", "write jane at example [dot] org", "Jane[AT]example{dot}net"):
+        assert [KINDS[k] for k, *_ in candidate_spans(text, [])] == ["email"]
+    assert candidate_spans("meet me at home. then we go", []) == []
+
+
+def plain_taken(counts):
+    """The codes taken, by expectation-maximisation code by code and plain gradient steps on the classifier's likelihood."""
+    parts = {c: _decode(c) for c in counts}
+    soft = {}
+    for kind in {p[0] for p in parts.values()}:
+        own = [c for c in counts if parts[c][0] == kind]
+        right, prior = [0.75] * 5, 0.5
+        for _ in range(200):
+            post = {}
+            for c in own:
+                yes, no = prior, 1 - prior
+                for v, r in zip(parts[c][1], right):
+                    yes, no = (yes * r, no * (1 - r)) if v > 0 else (yes * (1 - r), no * r) if v < 0 else (yes, no)
+                post[c] = yes / (yes + no)
+            for i in range(5):
+                agree = sum(counts[c] * (post[c] if parts[c][1][i] > 0 else 1 - post[c]) for c in own if parts[c][1][i])
+                right[i] = min(0.99, max(0.5, (agree + 7.5) / (sum(counts[c] for c in own if parts[c][1][i]) + 10)))
+            prior = min(0.95, max(0.05, (sum(post[c] * counts[c] for c in own) + 2) / (sum(counts[c] for c in own) + 4)))
+        soft |= post
+    codes, total = sorted(counts), sum(counts.values())
+    x = np.zeros((len(codes), 5 + 15 + 4 + 3 + 3))
+    for row, c in zip(x, codes):
+        kind, vote, length, left, right = parts[c]
+        row[[kind, *[5 + 3 * i + v + 1 for i, v in enumerate(vote)], 20 + length, 24 + left, 27 + right]] = 1
+    w, weight, target = np.zeros(x.shape[1]), np.array([counts[c] / total for c in codes]), np.array([soft[c] for c in codes])
+    for _ in range(60000):
+        w -= 0.4 * (x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - target)) + 1e-3 * w)
+    return {c: 1 / (1 + np.exp(-v)) for c, v in zip(codes, x @ w)}
+
+
+def test_added_spans_are_what_plain_training_takes(spark, small):
+    extra = [f"call me on {a} {b} today, or by phone ({c}) {a}-{b}" for a in (555, 30) for b in (1234, 999) for c in (202, 89)] + ["SSN 123-45-6789", "serial 000-12-3456", "card 4000 1234 5678 9010", "order 4000-1234-5678-9011", "jo at x dot org, mail", "IBAN DE89 3704 0044 0532 0130 00"]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [(10**6 + i, t) for i, t in enumerate(extra * 3)]
+    counts, spans = {}, {}
+    for i, t in rows:
+        base = base_spans(t or "")
+        more = candidate_spans(t or "", base)
+        spans[i] = more
+        for code in [span_code(t, *b) for b in base] + [m[3] for m in more]:
+            counts[code] = counts.get(code, 0) + 1
+    chance = plain_taken(counts)
+    assert all(abs(c - 0.5) > 1e-4 for c in chance.values())
+    got = {r.doc_id: {(x.kind, x.start, x.end) for x in r.added} for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: {m[:3] for m in own if chance[m[3]] > 0.5} for i, own in spans.items()}
+    assert any(got.values())
+
+
 def test_training_without_candidates():
     assert train({}) == set()
 

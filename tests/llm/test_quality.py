@@ -1,5 +1,7 @@
 """The quality classifier: held-out accuracy, edges, and what it may look at."""
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -47,3 +49,34 @@ def test_one_class_and_constant_features():
     x = np.ones((3, 2))
     model = fit({1: (3, x.sum(0), x.T @ x)})
     assert np.isfinite(model.score(x)).all()
+
+
+def plain_statistics(text):
+    text = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    lines = [x for x in text.split("\n") if x]
+    n, w, k = max(len(text), 1), max(len(words), 1), max(len(lines), 1)
+    patterns = ("[A-Z]", r"[#*$%&<>@=+~^_{}\\\[\]]", "[!?]", "[|]", "[0-9]", "[.,;:]", r"[\x20\x09-\x0D]", "[^\x00-\x7f]")
+    shares = [math.sqrt(len(re.findall(p, text)) / n) for p in patterns]
+    return [*shares, math.log1p(len(words)), math.log1p(len(text) / w), math.sqrt(len(set(words)) / w), math.sqrt(1 - len(set(lines)) / k), math.log1p(len(words) / k)]
+
+
+def test_scores_are_those_of_plain_densities(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    x = {r.doc_id: np.array(plain_statistics(r.text)) for r in docs.collect()}
+    train = [(x[i], q) for i, q in known.items() if i in x and zlib.crc32(str(i).encode()) % 5]
+    every = np.array([v for v, _ in train])
+    scale = np.sqrt(np.maximum(every.var(0), 1e-6))
+    z = lambda v: (v - every.mean(0)) / scale
+    pooled = np.cov(z(every).T, bias=True)
+    parts = []
+    for c in (0, 1):
+        own = z(np.array([v for v, q in train if q == c]))
+        cov = 0.9 * (np.cov(own.T, bias=True) if len(own) > every.shape[1] else pooled) + 0.1 * pooled
+        cov = 0.98 * cov + 0.02 * np.trace(cov) / len(cov) * np.eye(len(cov))
+        parts.append((own.mean(0), np.linalg.inv(cov), np.log(len(own) / len(train)) - 0.5 * np.linalg.slogdet(cov)[1]))
+    for r in quality_scores(docs, labels).collect():
+        d = [o - 0.5 * (z(x[r.doc_id]) - m) @ inv @ (z(x[r.doc_id]) - m) for m, inv, o in parts]
+        want = 1 / (1 + math.exp(min(500, max(-500, d[0] - d[1]))))
+        assert abs(r.score - want) < 1e-6 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3)
