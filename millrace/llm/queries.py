@@ -117,6 +117,24 @@ from w left join pos using (doc_id) left join it using (doc_id)
 """
 
 
+_REPEATED_LINES = r"""
+with d as (select row_number() over (order by doc_id nulls last) as r, doc_id, string_split(text, chr(10)) as l from documents),
+s as (select r, i, lower(regexp_replace(l[i + 1], '[\t\x0B\f\r]', ' ', 'g')) as s from (select r, l, unnest(range(0, len(l))) as i from d)),
+w as (select r, i, list_sort(list_distinct(list_filter(string_split(s, ' '), lambda x: x <> ''))) as w from s),
+o as (select r, i, w, row_number() over (order by r, i) as o from w where len(w) > 0),
+c as (select w, len(w) as n, min(o) as o from o group by w),
+u as (select o, n, unnest(w) as t from c),
+f as (select t, count(*) as df from u group by t),
+p as (select o, n, t from u join f using (t) qualify row_number() over (partition by o order by df, t) <= n - (4 * n + 4) // 5 + 1),
+m as (select distinct a.o as a, b.o as b from p a join p b on a.t = b.t and a.o > b.o and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+later as (select distinct a.o from m join c a on a.o = m.a join c b on b.o = m.b where 9 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n)),
+gone as (
+  select r, list(i::int order by i) as removed
+  from o join (select w, o as first, o in (select o from later) as late from c) using (w) where late or o > first group by r)
+select doc_id, coalesce(len(l), 0) as n_lines, coalesce(len(removed), 0) as n_removed, coalesce(removed, []::int[]) as removed from d left join gone using (r)
+"""
+
+
 def _secrets_sql() -> str:
     """Each rule's matches and the gaps between them; a match starts after all gaps and matches before it."""
     from millrace.llm.secrets import ADDED, BASE
@@ -174,4 +192,4 @@ from o
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_revisits": _revisits_sql(), "op2_benchmark_decontamination": _CONTAMINATION, "op8_secret_scan": _secrets_sql()}
+    return {"op7_warc_revisits": _revisits_sql(), "op2_benchmark_decontamination": _CONTAMINATION, "op8_secret_scan": _secrets_sql(), "op9_line_dedup": _REPEATED_LINES}

@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -54,6 +55,19 @@ def test_whole_table(spark, small):
     assert {(r.doc_id, i) for r in line_report(df).collect() for i in r.removed} == plain(rows)
 
 
+def test_same_as_sql(small):
+    """The SQL gives the rows that the plain version gives."""
+    con, columns = duckdb.connect(), "unnest($ids) as doc_id, unnest($texts) as text"
+    tables = [[(r[0], r[1]) for r in con.execute(f"select doc_id, text from '{small}/documents.parquet'").fetchall()], ROWS, []]
+    for rows in tables:
+        con.execute("create or replace table documents (doc_id bigint, text varchar)")
+        con.execute(f"insert into documents select {columns}", {"ids": [i for i, _ in rows], "texts": [t for _, t in rows]})
+        found = con.execute(llm.oracle_sql()["op9_line_dedup"]).fetchall()
+        assert {(i, k) for i, _, _, removed in found for k in removed} == plain(rows)
+        assert sorted(((i is None, i, n) for i, n, _, _ in found), key=str) == sorted(((i is None, i, 0 if t is None else len(t.split("\n"))) for i, t in rows), key=str)
+        assert all(n == len(removed) for _, _, n, removed in found)
+
+
 def test_texts(spark):
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in ROWS], "doc_id long, text string, n_chars long")
     gone = plain(ROWS)
