@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from millrace.functions import compat
 from millrace.operators import relational as rel
 from millrace.plans.cache import CachedTables, CacheMode
-from millrace.sources.readers import read_fixed_records, read_manifest, read_mixed, read_text_table, sample_bucket, text_lines
+from millrace.sources.readers import read_fixed_records, read_manifest, read_mixed, read_sequence, read_text_table, sample_bucket, text_lines
 from millrace.sources.scratch import fresh_path
-from millrace.sources.sinks import multi_insert, write_directory, write_partitions
+from millrace.sources.sinks import multi_insert, write_buckets, write_directory, write_partitions, write_sequence
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,6 +162,17 @@ def join_salted(spark, d):
     return rel.join_salted(left, load(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name"), "k", 4).drop("k")
 
 
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_bucketed(spark, d):
+    """A join of two tables bucketed and sorted by its key, which needs no shuffle."""
+    sides = []
+    for table, key, other in (("orders", "o_custkey", "o_orderkey"), ("customer", "c_custkey", "c_name")):
+        name, t = _fresh_table(spark, table), load(spark, d, table).select(key, other)
+        write_buckets(t, name, fresh_path(spark, table), key, 8)
+        sides.append(spark.table(name))
+    return sides[0].join(sides[1].hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+
+
 @query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey IS NOT DISTINCT FROM s_nationkey AND c_custkey % 10 = s_suppkey % 10 AND c_acctbal < s_acctbal")
 def join_mixed_keys(spark, d):
     """Null-safe and plain keys with a residual condition, by the join operator."""
@@ -366,15 +377,15 @@ def udf_pandas(spark, d):
     return load(spark, d, "supplier").select("s_suppkey", F.round(gross("s_acctbal"), 4).alias("gross"))
 
 
-@query("SELECT c_mktsegment, round(max(c_acctbal) - min(c_acctbal), 2) AS spread FROM customer GROUP BY c_mktsegment")
+@query("SELECT o_custkey, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY o_custkey")
 def udaf_pandas(spark, d):
-    """A user-defined aggregate. A group's values meet in one task: for groups of bounded size."""
+    """A user-defined aggregate. A group's values meet in one task, so it is for keys of many small groups."""
 
     @F.pandas_udf("double")
     def spread(v: pd.Series) -> float:
         return float(v.max() - v.min())
 
-    return load(spark, d, "customer").groupBy("c_mktsegment").agg(F.round(spread("c_acctbal"), 2).alias("spread"))
+    return load(spark, d, "orders").groupBy("o_custkey").agg(F.round(spread("o_totalprice"), 2).alias("spread"))
 
 
 @query("SELECT r_regionkey, unnest(string_split(r_name, 'A')) AS part FROM region")
@@ -423,6 +434,15 @@ def text_nested(spark, d):
     return back.select("p_partkey", F.col("words")[0].alias("first"), F.size("words").alias("n"), F.col("m")["brand"][0].alias("brand"))
 
 
+@query("SELECT s_suppkey, s_name, nullif(s_nationkey % 5, 0)::int AS k FROM supplier")
+def sequence_round_trip(spark, d):
+    """A table through SequenceFiles of delimited values, with nulls."""
+    t = load(spark, d, "supplier").selectExpr("s_suppkey", "s_name", "cast(nullif(s_nationkey % 5, 0) AS int) AS k")
+    path = fresh_path(spark, "sequence") + "/files"  # must not be there yet
+    write_sequence(t, path)
+    return read_sequence(spark, path, t.schema)
+
+
 @query("SELECT n_name AS value FROM nation UNION ALL SELECT r_name FROM region")
 def manifest_scan(spark, d):
     """Files named by a manifest."""
@@ -497,11 +517,12 @@ def ctas(spark, d):
     return spark.read.parquet(path)
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 220")
+@query("SELECT o_orderkey, o_orderdate::date AS day FROM orders WHERE o_orderdate::date BETWEEN DATE '1995-01-01' AND DATE '1995-06-30'")
 def cached_scan_pruned(spark, d):
-    """A clustered table in memory: batches whose range misses the predicate are skipped."""
-    t = load(spark, d, "orders").select("o_orderkey", "o_totalprice").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").persist()
-    return t.filter("o_orderkey BETWEEN 100 AND 220")
+    """A table in memory, clustered by date: batches whose range misses the predicate are skipped."""
+    t = load(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    t = t.repartitionByRange("day").sortWithinPartitions("day").persist()
+    return t.filter("day BETWEEN DATE '1995-01-01' AND DATE '1995-06-30'")
 
 
 @query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
@@ -555,6 +576,55 @@ def ddl_show_partitions(spark, d):
     return spark.sql(f"SHOW PARTITIONS {name}").select(F.col("partition").alias("part"))
 
 
+@query("SELECT 'kind=' || r AS part FROM (SELECT unnest(['F', 'later']) AS r)")
+def ddl_alter_partitions(spark, d):
+    """ALTER TABLE: a partition dropped and another renamed."""
+    name = _fresh_table(spark, "altered")
+    spark.sql(f"CREATE TABLE {name} (k BIGINT, kind STRING) USING parquet PARTITIONED BY (kind) LOCATION '{fresh_path(spark, 'altered')}'")
+    spark.sql("INSERT INTO " + name + " PARTITION (kind) SELECT o_orderkey, o_orderstatus FROM {t}", t=load(spark, d, "orders"))
+    spark.sql(f"ALTER TABLE {name} DROP PARTITION (kind = 'O')")
+    spark.sql(f"ALTER TABLE {name} PARTITION (kind = 'P') RENAME TO PARTITION (kind = 'later')")
+    return spark.sql(f"SHOW PARTITIONS {name}").select(F.col("partition").alias("part"))
+
+
+@query("SELECT 'k' AS col_name, 'bigint' AS data_type UNION ALL SELECT 'v', 'string' UNION ALL SELECT 'more', 'int'")
+def ddl_alter_table(spark, d):
+    """CREATE TABLE LIKE, RENAME TO and ADD COLUMNS."""
+    name, like, last = (_fresh_table(spark, n) for n in ("first", "like", "last"))
+    spark.sql(f"CREATE TABLE {name} (k BIGINT, v STRING) USING parquet LOCATION '{fresh_path(spark, 'first')}'")
+    spark.sql(f"CREATE TABLE {like} LIKE {name} LOCATION '{fresh_path(spark, 'like')}'")
+    spark.sql(f"ALTER TABLE {like} RENAME TO {last}")
+    spark.sql(f"ALTER TABLE {last} ADD COLUMNS (more INT)")
+    return spark.sql(f"DESCRIBE {last}").select("col_name", "data_type")
+
+
+@query("SELECT 'held' AS found")
+def ddl_database(spark, d):
+    """CREATE DATABASE, a table in it, and DROP ... CASCADE."""
+    db = _fresh_table(spark, "db")
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{fresh_path(spark, 'db')}'")
+    spark.sql(f"CREATE TABLE {db}.held (k BIGINT) USING parquet")
+    found = [r.tableName for r in spark.sql(f"SHOW TABLES IN {db}").collect() if not r.isTemporary]
+    spark.sql(f"DROP DATABASE {db} CASCADE")
+    return spark.createDataFrame([(t,) for t in found], "found string")
+
+
+@query("SELECT count(*) AS n FROM orders")
+def ddl_analyze(spark, d):
+    """ANALYZE TABLE: the row count kept in the catalog."""
+    name = _fresh_table(spark, "analyzed")
+    load(spark, d, "orders").select("o_orderkey").write.option("path", fresh_path(spark, "analyzed")).saveAsTable(name)
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+    stats = spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Statistics'")
+    return stats.select(F.regexp_extract("data_type", r"(\d+) rows", 1).cast("long").alias("n"))
+
+
+@query("SELECT 'upper' AS function")
+def ddl_show_functions(spark, d):
+    """SHOW FUNCTIONS with a pattern."""
+    return spark.sql("SHOW SYSTEM FUNCTIONS LIKE 'upper'")
+
+
 @query()
 def explain_plan(spark, d):
     """The physical plan of a query, as text."""
@@ -614,11 +684,11 @@ def sql_ngrams(spark, d):
     return rows.select(F.array_join("x.ngram", " ").alias("gram"), F.col("x.estfrequency").alias("n"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 5")
+@query("SELECT n_nationkey, n_name FROM nation")
 def sql_load_delimited(spark, d):
     """CREATE TABLE ... ROW FORMAT DELIMITED, and LOAD DATA into it."""
     name, path, w = _fresh_table(spark, "loaded"), fresh_path(spark, "load"), _warehouse(spark, d, "nation")
-    rows = spark.sql("SELECT concat_ws('|', n_nationkey, n_name) AS value FROM nation WHERE n_nationkey < 5")
+    rows = spark.sql("SELECT concat_ws('|', n_nationkey, n_name) AS value FROM nation")
     rows.write.mode("overwrite").text(path)
     w.sql_to_df(f"CREATE TABLE {name} (n_nationkey int, n_name string) ROW FORMAT DELIMITED FIELDS TERMINATED BY '|' STORED AS TEXTFILE")
     w.sql_to_df(f"LOAD DATA INPATH '{path}' OVERWRITE INTO TABLE {name}")

@@ -47,10 +47,20 @@ def join_broadcast(big: DataFrame, small: DataFrame, on, how: str = "inner", mos
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 
-def join_salted(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """An inner join on one key for a left side with hot keys: left rows are dealt over `salts` copies of right rows."""
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+def join_salted(left: DataFrame, right: DataFrame, key: str, salts: int = 16, hot_share: float = 0.001) -> DataFrame:
+    """An inner join on one key for a left side with hot keys.
+
+    Keys with `hot_share` or more of the left rows, of which there are at most 1 / hot_share, are dealt over `salts` by a
+    hash of the whole row, and right rows of these keys alone are copied; all others are joined as they are. Null keys
+    match nothing.
+    """
+    left, right = left.filter(F.col(key).isNotNull()), right.filter(F.col(key).isNotNull())
+    least = max(1.0, left.count() * hot_share)
+    hot = left.groupBy(key).count().filter(F.col("count") >= least).select(key, F.lit(True).alias("_hot"))
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
 
 

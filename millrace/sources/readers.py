@@ -43,10 +43,23 @@ def read_text_table(spark: SparkSession, path, schema: T.StructType | str, field
     """A table of delimited text lines. Missing fields, and fields of another type, are null; surplus ones are ignored."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    parts = spark.read.text(path).select(F.split("value", _quoted(field), -1).alias("f"))
+    return _parsed(spark.read.text(path), schema, field, nested, null)
+
+
+def _parsed(lines: DataFrame, schema: T.StructType, field: str, nested: tuple[str, ...], null: str) -> DataFrame:
+    parts = lines.select(F.split("value", _quoted(field), -1).alias("f"))
     return parts.select(*[_typed(F.get("f", F.lit(i)), c.dataType, 0, nested, null).alias(c.name) for i, c in enumerate(schema.fields)])
 
 
+def read_sequence(spark: SparkSession, path: str, schema: T.StructType | str, field: str = DELIMITERS[0], nested: tuple[str, ...] = DELIMITERS[1:], null: str = NULL) -> DataFrame:
+    """SequenceFiles whose values are delimited lines, read as read_text_table() reads text; keys are ignored, as in the
+    dialect. DataFrames have no reader of the format, so Hadoop's hands the values over."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    pairs = spark.sparkContext.sequenceFile(path, "org.apache.hadoop.io.Writable", "org.apache.hadoop.io.Text")
+    return _parsed(spark.createDataFrame(pairs.map(lambda kv: (kv[1],)), "value string"), schema, field, nested, null)
+
+
 def _said(c: Column, kind: T.DataType, level: int, delimiters: tuple[str, ...], null: str) -> Column:
     if isinstance(kind, T.ArrayType):
         text = F.array_join(F.transform(c, lambda x: _said(x, kind.elementType, level + 1, delimiters, null)), delimiters[level])
@@ -89,7 +102,10 @@ def read_mixed(spark: SparkSession, partitions: list[tuple[dict[str, str], str,
 
 
 def read_fixed_records(spark: SparkSession, path: str, size: int = 1000) -> DataFrame:
-    """One binary column `record`: files cut into records of `size` bytes; a shorter rest at the end is a record too."""
+    """One binary column `record`: files cut into records of `size` bytes; a shorter rest at the end is a record too.
+
+    A task holds a whole file, which Spark limits to 2 GB (`spark.sql.sources.binaryFile.maxLength` sets less).
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     count = F.ceil(F.length("content") / F.lit(size)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("content"), i * size + 1, F.lit(size)))

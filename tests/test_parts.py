@@ -10,8 +10,8 @@ from millrace.functions import compat
 from millrace.operators import relational as rel
 from millrace.plans import dialect, render
 from millrace.plans.zones import All, Any_, Compare, flip, may_match, order_stats, partition_stats
-from millrace.sources.readers import read_fixed_records, read_text_table, text_lines
-from millrace.sources.sinks import write_directory
+from millrace.sources.readers import read_fixed_records, read_sequence, read_text_table, text_lines
+from millrace.sources.sinks import write_buckets, write_directory, write_sequence
 
 
 @pytest.mark.parametrize("low,high,inside,below,above", [(5, 9, 7, 1, 12), (0.2, 0.5, 0.3, 0.1, 0.7), ("b", "d", "c", "a", "e"), (False, False, False, None, True), (datetime.datetime(2001, 1, 1), datetime.datetime(2002, 1, 1), datetime.datetime(2001, 5, 1), datetime.datetime(2000, 1, 1), datetime.datetime(2003, 1, 1))])
@@ -59,6 +59,32 @@ def test_text_round_trip_of_types(spark, tmp_path):
     assert text_lines(df.select("c", "h", "i")).first().value == "3\x01x\x01\\N"
 
 
+def test_sequence_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", [1, 2]), (None, None, []), (3, "", None)], "k int, v string, a array<int>")
+    write_sequence(df.repartition(2), f"file://{tmp_path}/seq")
+    assert sorted(read_sequence(spark, f"file://{tmp_path}/seq", df.schema).collect(), key=str) == sorted(df.collect(), key=str)
+    write_sequence(df.limit(0), f"file://{tmp_path}/none")
+    assert not read_sequence(spark, f"file://{tmp_path}/none", df.schema).collect()
+
+
+def test_bucketed_join_has_no_shuffle(spark, tmp_path):
+    sides = []
+    for name, key in (("l", "a"), ("r", "b")):
+        write_buckets(spark.range(2000).withColumnRenamed("id", key), f"bucketed_{name}", f"file://{tmp_path}/{name}", key, 4)
+        sides.append(spark.table(f"bucketed_{name}"))
+    joined = sides[0].join(sides[1].hint("merge"), F.col("a") == F.col("b"))
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 2000
+
+
+def test_salted_join(spark):
+    left = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id END AS k", "id AS v")
+    right = spark.createDataFrame([(7, "x"), (7, "y"), (8, "z"), (None, "n"), (10**6, "far")], "k bigint, w string")
+    for share in (0.001, 0.2, 1.0):
+        got = sorted(map(tuple, rel.join_salted(left, right, "k", 4, share).collect()))
+        assert got == sorted(map(tuple, left.join(right, "k").collect()))
+    assert not rel.join_salted(left.limit(0), right, "k").collect()
+
+
 def test_fixed_records(spark, tmp_path):
     (tmp_path / "r").write_bytes(bytes(range(250)) * 10)
     got = sorted((r.number, bytes(r.record)) for r in read_fixed_records(spark, f"file://{tmp_path}/r", 1000).collect())
