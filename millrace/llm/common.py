@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.scratch import fresh_path
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: What lower-casing of A-Z alone changes, and to what.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,3 +70,11 @@ def packed(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame],
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """Hint a broadcast only where the counted `rows` stay within `max_rows`; else Spark shuffles."""
     return F.broadcast(df) if rows <= max_rows else df.hint("merge")
+
+
+def release_memory() -> None:
+    """Give what Arrow and the C library keep for later back to the system, in a worker that lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
