@@ -18,12 +18,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import release_memory
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SPACE = "▁"
 _NONE = np.int32(2**31 - 1)
-#: Characters of text handled at once, and distinct words kept between chunks.
-_CHARS, _WORDS = 1 << 21, 300_000
+#: Characters and texts handled at once, and distinct words kept between chunks.
+_CHARS, _ROWS, _WORDS = 1 << 20, 500, 300_000
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -298,23 +300,28 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False, k
     def run(batches):
         encoder, sha = Encoder(Pieces(model_path)), hashlib.sha256
         for batch in batches:
-            texts, out, at = [t or "" for t in batch.column(1).to_pylist()], [], 0
-            for part in chunks(texts):
-                flat, counts, said = encoder.encode(part)
-                end = encoder.pieces.end
-                decoded = encoder.pieces.decode(flat, counts)
-                n = len(part)
-                cols = [
-                    batch.column(0).slice(at, n), pa.array(counts + 1),
-                    pa.array([sha(f"{s} {end}".encode() if s else str(end).encode()).hexdigest() for s in said]),
-                    pa.array([sha(d).hexdigest() for d in decoded]),
-                ]
-                if keep_ids:
-                    ends = np.cumsum(counts)
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends + np.arange(1, n + 1))), pa.int32()), pa.array(np.insert(flat, ends, end), pa.int32())))
-                if keep_text:
-                    cols.append(pa.array([d.decode() for d in decoded]))
-                at += n
-                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in schema.split(", ")])
+            for first in range(0, batch.num_rows, _ROWS):
+                own, at = batch.slice(first, _ROWS), 0
+                for part in chunks([t or "" for t in own.column(1).to_pylist()]):
+                    flat, counts, said = encoder.encode(part)
+                    end = encoder.pieces.end
+                    decoded = encoder.pieces.decode(flat, counts)
+                    n = len(part)
+                    cols = [
+                        own.column(0).slice(at, n), pa.array(counts + 1),
+                        pa.array([sha(f"{s} {end}".encode() if s else str(end).encode()).hexdigest() for s in said]),
+                        pa.array([sha(d).hexdigest() for d in decoded]),
+                    ]
+                    if keep_ids:
+                        ends = np.cumsum(counts)
+                        cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends + np.arange(1, n + 1))), pa.int32()), pa.array(np.insert(flat, ends, end), pa.int32())))
+                    if keep_text:
+                        cols.append(pa.array([d.decode() for d in decoded]))
+                    at += n
+                    yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in schema.split(", ")])
+                flat = said = decoded = cols = None
+            release_memory()  # workers are kept, and so would be what they held
+        encoder = None
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
