@@ -34,18 +34,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows that Spark hands to Python at once.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch_rows: int = 0) -> DataFrame:
     """Write `df` to the shared folder and read it back: computed once, lineage cut, safe against lost executors.
 
-    The write's own shuffle files are deleted at its end.
+    The write's own shuffle files are deleted at its end. `batch_rows`, if given, are handed to Python at once, which keeps
+    the Arrow buffers of whole texts small on both sides.
     """
     spark = df.sparkSession
-    path, before = fresh_path(spark, name), spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    path, before = fresh_path(spark, name), {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
