@@ -158,7 +158,7 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     if n_hot:
         # Round 1: the many variants of a passage share words. Of each word's sets the earliest of each of _LEADS parts
         # leads; every set is compared with the leads before it, which settles most variants by a few comparisons.
-        members = posts.join(broadcast_if_small(hot, n_hot, _BROADCAST_ROWS), "token")
+        members = materialize(posts.join(broadcast_if_small(hot, n_hot, _BROADCAST_ROWS), "token"), "line-members")
         lead = F.min(F.struct("doc", "at", "cls", "n", "b0", "b1")).alias("lead")
         leads = materialize(members.groupBy("token", F.pmod("cls", F.lit(_LEADS)).alias("part")).agg(lead), "line-leads")
         side = broadcast_if_small(leads.select("token", *[F.col(f"lead.{c}").alias(f"l_{c}") for c in ("doc", "at", "cls", "n", "b0", "b1")]), leads.count(), _BROADCAST_ROWS // 8)
@@ -167,26 +167,27 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         near = (smaller & _close(similarity, "", "l_")) | (~smaller & _close(similarity, "l_", ""))
         met = members.join(side, "token").filter(before & near).select(F.col("cls").alias("a"), F.col("l_cls").alias("b")).distinct()
         settled = materialize(_verified(docs, classes, met, levels, similarity).select(F.col("a").alias("cls")).distinct(), "line-settled")
+        drop(members)
     # Round 2: every set that is still open against all earlier ones. The smaller one of a pair has the shorter prefix.
     # The first word that two similar sets share has so many words after it in both as the sets must have in common.
     flagged = classes.withColumn("open", F.lit(True))
     if settled is not None:
         side = broadcast_if_small(settled.withColumn("settled", F.lit(True)), settled.count(), _BROADCAST_ROWS)
         flagged = materialize(classes.join(side, "cls", "left").withColumn("open", F.col("settled").isNull()).drop("settled"), "line-open")
-    columns = ("cls", "doc", "at", "n", "pos", "b0", "b1")
     found = []
     for i in range(_PASSES):
         each = flagged.select("cls", "doc", "at", "n", "b0", "b1", "open", F.posexplode("prefix").alias("p", "token")).filter(F.pmod("token", F.lit(_PASSES)) == i)
-        each = each.withColumn("pos", F.when(F.col("open"), F.col("p")).otherwise(-1 - F.col("p")))  # below 0: not open
-        x, y = (each.select("token", *[F.col(c).alias(f"{side}{c}") for c in columns]) for side in ("x_", "y_"))
+        each = each.withColumn("pos", F.when(F.col("open"), F.col("p")).otherwise(-1 - F.col("p"))).drop("open", "p")  # below 0: not open
+        # What holds for x alone stands in one condition with what holds for both: a filter of x would need a shuffle of its own.
+        x, y = each.alias("x"), each.alias("y")
         pos = lambda side: F.greatest(F.col(f"{side}pos"), -1 - F.col(f"{side}pos"))
-        short = pos("x_") <= F.col("x_n") - _room(F.col("x_n"), similarity)[1]
-        once = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cls") < F.col("y_cls")))
-        room = F.least(F.col("x_n") - pos("x_"), F.col("y_n") - pos("y_")) >= _need(F.col("x_n"), F.col("y_n"), similarity)
-        late = (F.col("x_doc") > F.col("y_doc")) | ((F.col("x_doc") == F.col("y_doc")) & (F.col("x_at") > F.col("y_at")))
-        asks = F.when(late, F.col("x_pos") >= 0).otherwise(F.col("y_pos") >= 0)
-        met = x.join(y, (x.token == y.token) & once & short & _close(similarity, "x_", "y_") & room & asks)
-        pair = met.select(F.when(late, F.col("x_cls")).otherwise(F.col("y_cls")).alias("a"), F.when(late, F.col("y_cls")).otherwise(F.col("x_cls")).alias("b"))
+        short = F.col("x.n") - _room(F.col("x.n"), similarity)[1] - pos("x.")
+        once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls")))
+        room = F.least(F.col("x.n") - pos("x."), F.col("y.n") - pos("y.")) - _need(F.col("x.n"), F.col("y.n"), similarity)
+        late = (F.col("x.doc") > F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.at") > F.col("y.at")))
+        asks = F.when(late, F.col("x.pos") >= 0).otherwise(F.col("y.pos") >= 0)
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & once & (F.least(short, room) >= 0) & _close(similarity, "x.", "y.") & asks)
+        pair = met.select(F.when(late, F.col("x.cls")).otherwise(F.col("y.cls")).alias("a"), F.when(late, F.col("y.cls")).otherwise(F.col("x.cls")).alias("b"))
         found.append(materialize(pair.distinct(), "line-candidates"))
     later = _verified(docs, classes, reduce(DataFrame.union, found).distinct(), levels, similarity).select(F.col("a").alias("cls"))
     later = materialize((later if settled is None else later.union(settled)).distinct(), "line-later")

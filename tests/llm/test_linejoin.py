@@ -140,3 +140,28 @@ def test_rows_that_share_a_doc_id(spark):
     assert found == sorted([(0, 2, (0,)), (0, 2, (0,)), (0, 1, ()), (7, 1, (0,)), (7, 1, ()), (7, 1, ()), (9, 2, ()), (9, 2, (1,)), (0, 0, ()), (0, 0, ()), (-3, 1, ())])
     left = sorted((r.doc_id or 0, r.text or "") for r in dedup_lines(docs).collect())
     assert left == sorted([(0, "only in the first row"), (0, "met in no other row"), (0, "its very own first line"), (7, "seven has another one there"), (7, "one two three four"), (9, rows[6][1]), (9, ""), (0, ""), (0, ""), (-3, "seven has a line here")])
+
+
+def test_each_pass_shuffles_its_prefixes_once(spark, monkeypatch):
+    plans, write = [], linejoin.materialize
+
+    def watched(df, name, *args):
+        if name == "line-candidates":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return write(df, name, *args)
+
+    monkeypatch.setattr(linejoin, "materialize", watched)
+    rows = [(i, f"a b c d e f g h i w{i % 7}\nof its own v{i} u{i} t{i}") for i in range(30)]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # as on large tables
+    try:
+        found = linejoin.line_report(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sum(r.n_removed for r in found.collect()) == 29
+    finally:
+        spark.conf.set(limit, before)
+    plans = [x for x in plans if "EmptyRelation" not in x]  # a pass may have no pairs
+    assert plans
+    for plan in plans:
+        assert len(re.findall(r"- Exchange hashpartitioning\((?:[xy]_)?token", plan)) == 1 and plan.count("ReusedExchange") == 1
