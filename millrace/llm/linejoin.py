@@ -9,6 +9,7 @@ hashes; of equal rows one comes before the others.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,9 +24,11 @@ _BROADCAST_ROWS = 1_000_000
 _LAST = (1 << 63) - 1
 #: Words beyond which a set's bitmap has 128 bits, not 64.
 _WIDE = 90
+#: Sizes of sets are dealt into bands, each so many times as wide as the one before.
+_BAND = 1.25
 #: Parts of the word space that are joined one by one, so that only one part's prefixes lie in shuffle files at a time.
 _PASSES = 2
-#: Sets that share a word of their prefixes, from which on round 1 takes the word, and how many of them lead there.
+#: Sets of a band that share a word of their prefixes, from which on round 1 takes the word, and how many of them lead there.
 _HOT, _LEADS = 256, 16
 #: `at` numbers the lines of a doc_id: sub * 2 ** 31 + line, sub numbering the texts of the doc_id.
 _SUB, _LINE = 31, (1 << 31) - 1
@@ -49,22 +52,26 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(level.get(b, 0)) for b in range(_BUCKETS))), ",").cast("array<bigint>")
 
 
-def _tokens(line: Column, levels: Column) -> Column:
-    """A plain line's distinct words as numbers, rarest first: 7 bits of the frequency of the word's bucket, 56 of hash."""
-    distinct = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+def _hashes(line: Column) -> Column:
+    """64-bit hashes of a plain line's distinct words."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _tokens(hashes: str, levels: Column) -> Column:
+    """Distinct words, given as _hashes(), as numbers, rarest first: 7 bits of the frequency of the word's bucket, 56 of hash."""
     # never null, and said so: sorting is then by plain numbers
     level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(_BUCKETS - 1).cast("int")), F.lit(0).cast("long"))
-    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
 
 
 def _bitmaps(tokens: str, n: Column) -> list[Column]:
-    """b0, b1: a bit for each hash, set if an odd number of words have it: 64 bits in b0, or 64 in each, of which b0 ^ b1
-    is the former. No more bits differ between two sets than words."""
+    """b0, b1: a bit for each hash, set if an odd number of words have it: 64 bits of all words in b0, and those of about half
+    of a large set's words in b1, so that b1 and b0 ^ b1 are 128 bits. No more bits differ between two sets than words."""
     none = F.lit(0).cast("long")
     one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
     fold = lambda a: F.aggregate(a, none, lambda acc, x: acc.bitwiseXOR(one(x)))
-    half = lambda k: fold(F.filter(tokens, lambda x: x.bitwiseAND(64) == F.lit(64 * k)))
-    return [F.when(n > _WIDE, half(0)).otherwise(fold(tokens)).alias("b0"), F.when(n > _WIDE, half(1)).otherwise(none).alias("b1")]
+    half = fold(F.filter(tokens, lambda x: x.bitwiseAND(64) != none))
+    return [fold(tokens).alias("b0"), F.when(n > _WIDE, half).otherwise(none).alias("b1")]
 
 
 def _need(n: Column, m: Column, t: float) -> Column:
@@ -79,13 +86,30 @@ def _room(n: Column, t: float) -> tuple[Column, Column]:
     return F.ceil(n * F.lit(s) / 1000 - 1e-9).cast("int"), F.ceil(n * F.lit(2 * s) / F.lit(1000 + s) - 1e-9).cast("int")
 
 
+def _band(n: Column) -> Column:
+    """The band of a size; a larger size never has a lower band."""
+    return F.floor(F.log(n) / math.log(_BAND)).cast("int")
+
+
+def _banded(posts: DataFrame, t: float) -> DataFrame:
+    """`posts`, a row for each word of a prefix, once for each band in which a similar set can share the word: the set's
+    own, where it meets smaller ones, and for words of the shorter prefix those of the larger sets that can be similar
+    if the word at this place is the first shared one. token becomes a hash of word and band, and `marks` has the place
+    (times 8), 4 if the word is in the shorter prefix, 2 in the own band, 1 if the set is open."""
+    s, n, pos, own, band = round(t * 1000), *map(F.col, ("n", "pos", "own", "band"))
+    most = F.floor((n - pos) * F.lit(1000 + s) / F.lit(s) - n + 1e-6)  # by the overlap that the join asks for
+    shorter = pos < F.col("short")
+    marks = F.shiftleft(pos, 3) + F.when(shorter, 4).otherwise(0) + F.when(band == own, 2).otherwise(0) + F.when(F.col("open"), 1).otherwise(0)
+    dealt = posts.select("*", F.explode(F.sequence(own, F.when(shorter, F.greatest(own, _band(most))).otherwise(own))).alias("band"))
+    return dealt.select(F.xxhash64("token", "band").alias("token"), "cls", "doc", "at", "n", "b0", "b1", marks.alias("marks"))
+
+
 def _close(t: float, a: str, b: str) -> Column:
     """What the sizes and bitmaps of two sets, a the smaller one, allow."""
     c = lambda side, name: F.col(f"{side}{name}")
     na, nb = c(a, "n"), c(b, "n")
-    both = [F.bit_count(c(a, x).bitwiseXOR(c(b, x))) for x in ("b0", "b1")]
-    folded = F.bit_count(reduce(lambda x, y: x.bitwiseXOR(y), [c(side, x) for side in (a, b) for x in ("b0", "b1")]))
-    apart = F.when((na > _WIDE) & (nb > _WIDE), both[0] + both[1]).otherwise(folded)
+    all_, half = [c(a, x).bitwiseXOR(c(b, x)) for x in ("b0", "b1")]
+    apart = F.when((na > _WIDE) & (nb > _WIDE), F.bit_count(half) + F.bit_count(all_.bitwiseXOR(half))).otherwise(F.bit_count(all_))
     return (na * 1000 >= nb * round(t * 1000)) & (apart <= na + nb - 2 * _need(na, nb, t))
 
 
@@ -140,23 +164,24 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     docs = docs.filter("_copy = 0")
     levels = rarity(docs)
     rows = docs.select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "raw"))
-    rows = rows.select("doc", F.shiftleft("sub", _SUB).bitwiseOR(F.col("line")).alias("at"), _tokens(F.col("raw"), levels).alias("tokens"))
-    n = F.size("tokens")
+    rows = rows.select("doc", F.shiftleft("sub", _SUB).bitwiseOR(F.col("line")).alias("at"), _hashes(F.col("raw")).alias("hashes"))
+    # Spark compiles what makes the hashes only as a step of its own, which it stays as two columns read it.
+    rows = rows.select("doc", "at", F.size("hashes").alias("n"), _tokens("hashes", levels).alias("tokens"))
+    n = F.col("n")
     # Sets of so few words that one word more is too many are similar to themselves alone: cls settles them.
     prefix = F.when(n * 1000 >= (n + 1) * round(similarity * 1000), F.slice("tokens", F.lit(1), n - _room(n, similarity)[0] + 1))
-    wide = materialize(rows.select("doc", "at", F.xxhash64("tokens").alias("cls"), n.alias("n"), prefix.alias("prefix"), *_bitmaps("tokens", n)), "lines-wide").filter("n > 0")
+    wide = materialize(rows.select("doc", "at", F.xxhash64("tokens").alias("cls"), "n", prefix.alias("prefix"), *_bitmaps("tokens", n)), "lines-wide").filter("n > 0")
     same = ("n", "prefix", "b0", "b1")
     classes = wide.groupBy("cls").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in same])
     classes = materialize(classes.select("cls", "first.doc", "first.at", "lines", *same), "line-classes")
-    lines = materialize(wide.select("doc", "at", "cls"), "lines")
-    drop(wide)
+    lines = wide.select("doc", "at", "cls")
 
     first = F.slice("prefix", F.lit(1), F.col("n") - _room(F.col("n"), similarity)[1] + 1)
-    posts = classes.select("cls", "doc", "at", "n", "b0", "b1", F.explode(first).alias("token"))
+    posts = classes.select("cls", "doc", "at", "n", "b0", "b1", _band(F.col("n")).alias("own"), F.explode(first).alias("token")).withColumn("token", F.xxhash64("token", "own")).drop("own")
     hot = materialize(posts.groupBy("token").count().filter(F.col("count") >= _HOT).select("token"), "line-words")
     settled, n_hot = None, hot.count()
     if n_hot:
-        # Round 1: the many variants of a passage share words. Of each word's sets the earliest of each of _LEADS parts
+        # Round 1: the many variants of a passage share words. Of each word's sets of a band the earliest of each of _LEADS parts
         # leads; every set is compared with the leads before it, which settles most variants by a few comparisons.
         members = materialize(posts.join(broadcast_if_small(hot, n_hot, _BROADCAST_ROWS), "token"), "line-members")
         lead = F.min(F.struct("doc", "at", "cls", "n", "b0", "b1")).alias("lead")
@@ -174,19 +199,21 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     if settled is not None:
         side = broadcast_if_small(settled.withColumn("settled", F.lit(True)), settled.count(), _BROADCAST_ROWS)
         flagged = materialize(classes.join(side, "cls", "left").withColumn("open", F.col("settled").isNull()).drop("settled"), "line-open")
+    sized = flagged.select("cls", "doc", "at", "n", "b0", "b1", "open", "prefix", _band(F.col("n")).alias("own"), (F.col("n") - _room(F.col("n"), similarity)[1] + 1).alias("short"))
+    posts = sized.select(*[c for c in sized.columns if c != "prefix"], F.posexplode("prefix").alias("pos", "token"))
     found = []
     for i in range(_PASSES):
-        each = flagged.select("cls", "doc", "at", "n", "b0", "b1", "open", F.posexplode("prefix").alias("p", "token")).filter(F.pmod("token", F.lit(_PASSES)) == i)
-        each = each.withColumn("pos", F.when(F.col("open"), F.col("p")).otherwise(-1 - F.col("p"))).drop("open", "p")  # below 0: not open
+        each = _banded(posts.filter(F.pmod("token", F.lit(_PASSES)) == i), similarity)
         # What holds for x alone stands in one condition with what holds for both: a filter of x would need a shuffle of its own.
         x, y = each.alias("x"), each.alias("y")
-        pos = lambda side: F.greatest(F.col(f"{side}pos"), -1 - F.col(f"{side}pos"))
-        short = F.col("x.n") - _room(F.col("x.n"), similarity)[1] - pos("x.")
+        left = lambda side: F.col(f"{side}n") - F.shiftright(f"{side}marks", 3)
+        has = lambda side, mark: F.col(f"{side}marks").bitwiseAND(mark)
         once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls")))
-        room = F.least(F.col("x.n") - pos("x."), F.col("y.n") - pos("y.")) - _need(F.col("x.n"), F.col("y.n"), similarity)
+        room = F.least(left("x."), left("y.")) >= _need(F.col("x.n"), F.col("y.n"), similarity)
         late = (F.col("x.doc") > F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.at") > F.col("y.at")))
-        asks = F.when(late, F.col("x.pos") >= 0).otherwise(F.col("y.pos") >= 0)
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & once & (F.least(short, room) >= 0) & _close(similarity, "x.", "y.") & asks)
+        asks = F.when(late, has("x.", 1)).otherwise(has("y.", 1)) > 0
+        meets = has("x.", 4) + has("y.", 2) == 6
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & meets & once & _close(similarity, "x.", "y.") & room & asks)
         pair = met.select(F.when(late, F.col("x.cls")).otherwise(F.col("y.cls")).alias("a"), F.when(late, F.col("y.cls")).otherwise(F.col("x.cls")).alias("b"))
         found.append(materialize(pair.distinct(), "line-candidates"))
     later = _verified(docs, classes, reduce(DataFrame.union, found).distinct(), levels, similarity).select(F.col("a").alias("cls"))
@@ -201,12 +228,12 @@ def removed_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     line = F.col("at").bitwiseAND(_LINE).cast("int")
     gone = gone.groupBy(F.col("doc").alias("_doc"), F.shiftright("at", _SUB).alias("_sub")).agg(F.array_sort(F.collect_set(line)).alias("removed"))
     gone = materialize(gone, "lines-gone")
-    drop(classes, lines, hot, later, fate, *found)
+    drop(classes, wide, hot, later, fate, *found)
     return gone
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Column, similarity: float) -> DataFrame:
-    """The pairs of classes whose words, fetched from the first line of each, are similar."""
+    """The pairs of classes whose words, fetched from the first line of each, are similar; words are known by 64-bit hashes."""
     pairs = materialize(pairs, "line-pairs")
     n_pairs = pairs.count()
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b"))).distinct()
@@ -215,9 +242,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels: Col
     wanted = materialize(where.groupBy("doc", F.shiftright("at", _SUB).alias("sub")).agg(F.collect_list(spot).alias("at")), "line-places")
     rows = wanted.select(F.sum(F.size("at"))).first()[0] or 0
     own = docs.select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), "text")
-    found = own.join(broadcast_if_small(wanted, rows, _BROADCAST_ROWS), ["doc", "sub"]).select("at", F.split(_plain(F.col("text")), "\n").alias("lines"))
+    found = own.join(broadcast_if_small(wanted, rows, _BROADCAST_ROWS), ["doc", "sub"]).select("at", F.split("text", "\n").alias("lines"))
     found = found.select(F.explode(F.transform("at", lambda x: F.struct(x["cls"].alias("cls"), F.get("lines", x["line"]).alias("raw")))).alias("x")).select("x.cls", "x.raw")
-    words = materialize(found.select("cls", F.array_remove(F.array_distinct(F.split("raw", " ")), "").alias("words")), "line-words")
+    words = materialize(found.select("cls", _hashes(_plain(F.col("raw"))).alias("words")), "line-words")
     both = pairs.join(words.select(F.col("cls").alias("a"), F.col("words").alias("aw")), "a").join(words.select(F.col("cls").alias("b"), F.col("words").alias("bw")), "b")
     return both.filter(F.size(F.array_intersect("aw", "bw")) >= _need(F.size("aw"), F.size("bw"), similarity)).select("a", "b")
 

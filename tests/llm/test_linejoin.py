@@ -165,3 +165,24 @@ def test_each_pass_shuffles_its_prefixes_once(spark, monkeypatch):
     assert plans
     for plan in plans:
         assert len(re.findall(r"- Exchange hashpartitioning\((?:[xy]_)?token", plan)) == 1 and plan.count("ReusedExchange") == 1
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95, 100])
+def test_words_meet_in_sizes_that_can_be_similar(spark, percent):
+    """A smaller set's word and a larger one's meet once if sets of such sizes can be similar with this first shared word."""
+    sizes, t = [*range(4, 60), 99, 100, 124, 125, 126, 400, 500], percent / 100
+    need = lambda n, m: -(-(n + m) * percent // (100 + percent))
+    rows = [(n, p, n - need(n, n) + 1) for n in sizes for p in range(n - -(-n * percent // 100) + 1)]
+    posts = spark.createDataFrame(rows, "n int, pos int, short int").selectExpr("*", "7L token", "n * 1000L + pos cls", "0L doc", "0L at", "0L b0", "0L b1", "true open")
+    found = linejoin._banded(posts.withColumn("own", linejoin._band(posts.n)), t).collect()
+    leads, homes = {}, {}
+    for r in found:
+        assert r.marks >> 3 == r.cls % 1000 and r.marks & 1
+        for mark, side in ((4, leads), (2, homes)):
+            if r.marks & mark:
+                side.setdefault(r.token, []).append((r.n, r.marks >> 3))
+    met = [(x, y) for k in leads for x in leads[k] for y in homes.get(k, ())]
+    assert len(met) == len(set(met))
+    able = {((n, p), (m, q)) for n, p, short in rows for m, q, _ in rows if p < short and n <= m and n * 100 >= m * percent and min(n - p, m - q) >= need(n, m)}
+    assert able <= set(met)
+    assert all(m <= n / t * linejoin._BAND and n <= m * linejoin._BAND for (n, _), (m, _) in met)
